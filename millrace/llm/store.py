@@ -1,0 +1,26 @@
+"""Where intermediate tables go: the shared folder named by ``spark.checkpoint.dir``."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder.  Only where none is named (tests, one machine) is a folder of our own set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        spark.sparkContext.setCheckpointDir(folder)
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder as compressed columns and read it again: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
