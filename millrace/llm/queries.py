@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cutoff, neardup, repetition
+from . import cutoff, neardup, pii, repetition
 
 #: Table, id column and text column of the two corpora.
 CORPORA = (("documents", "doc_id", "text"), ("corpus_lines", "line_id", "content"))
@@ -53,7 +53,18 @@ def p7_groups(spark: SparkSession, folder: str) -> DataFrame:
     return each[0].unionByName(each[1])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_profile, p6_found, p6_cutoffs, p7_found, p7_groups)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = pii.mentions(docs, read(spark, folder, "name_lexicon"))
+    return found.select(F.col("id").alias("doc_id"), "start_pos", "kind")
+
+
+def p10_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    return pii.redact(docs, read(spark, folder, "name_lexicon")).select(F.col("id").alias("doc_id"), F.md5("text").alias("text_md5"), "n_masked")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_profile, p6_found, p6_cutoffs, p7_found, p7_groups, p10_found, p10_redacted)}
 
 _SCORED = """
 WITH good AS (SELECT line_id, ppl, scored_at FROM ppl_scores WHERE ppl > 0 AND ppl < 'infinity'::DOUBLE AND NOT isnan(ppl)),
