@@ -187,14 +187,13 @@ class NearDuplicates:
         self.links = table(self._links(), "links")
 
     def candidates(self) -> DataFrame:
-        keyed = self.own.select("id", "grams", "klass", F.explode("keys").alias("key"))
-        a = keyed.select("key", "klass", F.col("id").alias("lo"), F.col("grams").alias("glo"))
-        b = keyed.select("key", F.col("id").alias("hi"), F.col("grams").alias("ghi"))
-        t = F.lit(self.threshold)
+        # both sides are the same rows, so that they are shuffled once
+        keyed = self.own.select(F.explode("keys").alias("key"), "id", "grams", "klass")
+        a, b, t = keyed.alias("a"), keyed.alias("b"), F.lit(self.threshold)
         return (
-            a.join(b, "key")
-            .where((F.col("lo") < F.col("hi")) & (F.col("glo") > t * F.col("ghi")) & (F.col("ghi") > t * F.col("glo")))
-            .select("klass", "lo", "hi")
+            a.join(b, F.col("a.key") == F.col("b.key"))
+            .where((F.col("a.id") < F.col("b.id")) & (F.col("a.grams") > t * F.col("b.grams")) & (F.col("b.grams") > t * F.col("a.grams")))
+            .select(F.col("a.klass").alias("klass"), F.col("a.id").alias("lo"), F.col("b.id").alias("hi"))
             .distinct()
         )
 
