@@ -11,11 +11,13 @@ Nulls give null text and no spans.  Texts are scanned whole.  Offsets are code p
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 KEEP = 0.5
 #: Characters before and after a span whose words count as its context.
@@ -151,7 +153,7 @@ ID = [
     (r"[A-Z](?=[0-9A-Z]*\d[A-Z])[0-9A-Z]{7}\d", 0.45, mod10_731),
     (r"\d{1,2}\.?\d{3}\.?\d{3}-?[A-Z]|[XYZ]-?\d{7}-?[A-Z]", 0.5, mod23),
     (r"[12]\d{14}|[12]([ .])\d{2}\1\d{2}\1\d{2}\1\d{3}\1\d{3}\1\d{2}", 0.5, lambda s: mod97(_digits(s))),
-    (r"\d{3}[ ]\d{3}[ ]\d{3}|\d{9}", 0.2, lambda s: mod11_weighted(_digits(s))),
+    (r"\d{3}[ ]\d{3}[ ]\d{3}|\d{9}", 0.05, lambda s: mod11_weighted(_digits(s))),
     (r"\d{17}[\dXx]", 0.5, iso7064_11_2),
 ]
 
@@ -183,17 +185,25 @@ ZH_FAMILY = ("司马", "欧阳", "诸葛", "上官", "陈", "郭", "孙", "李",
 # Context words by kind, with what they add to a score.
 CONTEXT = {
     "phone": (r"\b(?:tel|phone|call|mobile|ring|reach|fax|telefon|rufen|anrufen|erreich\w*|unter|appelez|joindre|téléphone|llame|teléfono|telefono|ligue|telefone)\b|电话|拨打|手机|致电", 0.3),
-    "id_number": (r"\b(?:identity|identit\w*|ID|passport|holder|kennung|ausweis\w*|steuer\w*|numéro|numero|documento|dni|nif|nie|identidad|identificação|identificacao|pessoal)\b|证件|身份证", 0.3),
+    "id_number": (r"\b(?:identity|identit\w*|ID|passport|holder|kennung|ausweis\w*|steuer\w*|numéro|numero|documento|dni|nif|nie|identidad|identificação|identificacao|pessoal)\b|证件|身份证", 0.45),
 }
 #: Words of numbers that belong to things.
 THINGS = (r"\b(?:order|reference|shelf|mark|checksum|version|ticket|bestellnummer|signatur|prüfsumme|pruefsumme|vorgang|commande|cote|référence|reference|referência|referencia|pedido|signatura|incidencia|caso|cota|somme)\b|订单|编号|校验|问题|索书", -0.5)
 
 
+def plain(s: str) -> str:
+    """Without accents."""
+    return "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c))
+
+
 class Finder:
     """Compiled patterns; one for each Python worker."""
 
-    def __init__(self, given: frozenset[str] = frozenset(), families: frozenset[str] = frozenset()):
+    def __init__(self, given: frozenset[str] = frozenset(), families: frozenset[str] = frozenset(), bodies: frozenset[str] = frozenset()):
         c = re.compile
+        given = given | {plain(g) for g in given}
+        bodies = frozenset(BODIES) | bodies
+        self.bodies = {w.title() for w in bodies}
         self.given, self.forms = {g.lower() for g in given}, sorted(given)
         self.at, self.local, self.domain = c(AT), c(LOCAL), c(DOMAIN)
         self.address = [c(p) for p in ADDRESS]
@@ -202,7 +212,7 @@ class Finder:
         self.phone = [(c(rf"(?:{p}){after}"), s) for p, s in PHONE]
         self.ids = [(c(rf"(?:{p}){after}"), s, v) for p, s, v in ID]
         #: where a number with at least six digits starts
-        self.number = c(r"(?<![\w.+/\-])(?:\+|\(\+?|[A-Z]{1,2}[ ]?)?\d(?:(?:[ .\-/(]|\)[ ]?|[A-Z])?\d){5,}")
+        self.number = c(r"(?<![A-Za-z0-9_.+/\-])(?:\+|\(\+?|[A-Z]{1,2}[ ]?)?\d(?:(?:[ .\-/]?\(|[ .\-/]|\)[ ]?|[A-Z])?\d){5,}")
         self.streets = [(p, w.split("|")) for p, w in zip(self.address, STREETS, strict=True)]
         self.cell = c(r"(?:^|[;|│\t\n]|[ ]{2})[ ]?$"), c(r"[ ]?(?:$|[;|│\t\n]|[ ]{2})")
         self.context = {k: (c(p, re.I), w) for k, (p, w) in CONTEXT.items()}
@@ -214,7 +224,7 @@ class Finder:
         self.before = c(rf"(?:(?<![\w@.\-])(?P<title>(?:{titles})\.?){_G})?(?:(?<![\w@.\-])(?P<initial>[{_U}]\.)(?:{_G})?|(?<![\w@.\-])(?P<given>[{_U}]{_LETTERS}+(?:-[{_U}]{_LETTERS}+)?){_G})?(?P<double>[{_U}]{_LETTERS}+-)?$")
         self.second = c(rf"-[{_U}]{_LETTERS}+")
         self.behind = c(rf",{_G}(?P<after>[{_U}]{_LETTERS}+(?:-[{_U}]{_LETTERS}+)?|[{_U}]\.)(?!\w)")
-        self.body = c(rf"{_G}(?:{'|'.join(BODIES)})\b", re.I)
+        self.body = c(rf"{_G}(?:{'|'.join(map(re.escape, sorted(bodies)))})\b", re.I)
         known = "|".join(map(re.escape, sorted(given, key=len, reverse=True)))
         self.lexical = c(rf"\b(?:{known}){_G}[{_U}]{_LETTERS}+(?:-[{_U}]{_LETTERS}+)?") if given else None
         double = "|".join(sorted({f for f in {*families, *ZH_FAMILY} if len(f) > 1}))
@@ -256,7 +266,7 @@ class Finder:
 
     def _name(self, text: str, a: int, b: int, capital: bool) -> Span | None:
         """The name whose family name is text[a:b], if the words beside it make it one."""
-        if self.body.match(text, b) or text[a:b].title() in BODIES:
+        if self.body.match(text, b) or text[a:b].title() in self.bodies:
             return None
         low = text[a:b].lower()
         lang = next((v for k, v in _LANG_OF.items() if low.endswith(k)), "")
@@ -279,8 +289,9 @@ class Finder:
             return Span(start, behind.end() if known else b, "name", 0.9)
         if known:
             return Span(start, behind.end(), "name", 0.9)
-        if capital:
-            return None
+        if capital:  # a name in capitals among ordinary words
+            near = text[max(0, m.start() - 12) : m.start()] + text[b : b + 12]
+            return Span(m.start("given"), b, "name", 0.55) if given and any(c.islower() for c in near) else None
         if behind is not None and len(low) > 5 and not given:
             return Span(start, behind.end(), "name", 0.55)
         if given:
@@ -326,18 +337,20 @@ def mask(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _finder(docs: DataFrame, lexicon: DataFrame | None) -> Callable[[], Finder]:
-    """The lexicon is a fixed list of name parts; names longer than a word aside, it is given to every worker once."""
+def _finder(docs: DataFrame, lexicon: DataFrame | None, entities: DataFrame | None) -> Callable[[], Finder]:
+    """The lexicon (name_form, form_kind) and the entity list (name_en) are short lists kept by hand; every worker gets them once.
+    Of entities only the last words count: what follows a proper name in the name of a place or body."""
     rows = [] if lexicon is None else lexicon.where("name_form is not null").select("name_form", "form_kind").distinct().collect()
     given = frozenset(r.name_form for r in rows if r.form_kind == "given")
     families = frozenset(r.name_form for r in rows if r.form_kind == "family")
-    shared = docs.sparkSession.sparkContext.broadcast((given, families))
+    last = [] if entities is None else entities.select(F.element_at(F.split(F.trim("name_en"), " +"), -1).alias("w")).where("length(w) > 2").distinct().collect()
+    shared = docs.sparkSession.sparkContext.broadcast((given, families, frozenset(r.w for r in last)))
     return lambda: Finder(*shared.value)
 
 
-def mentions(docs: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+def mentions(docs: DataFrame, lexicon: DataFrame | None = None, entities: DataFrame | None = None) -> DataFrame:
     """(id, start_pos, end_pos, kind, score) of each mention in docs (id, text)."""
-    make = _finder(docs, lexicon)
+    make = _finder(docs, lexicon, entities)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = make()
@@ -351,9 +364,9 @@ def mentions(docs: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     return docs.where("text is not null").select("id", "text").mapInArrow(run, "id long, start_pos long, end_pos long, kind string, score double")
 
 
-def redact(docs: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+def redact(docs: DataFrame, lexicon: DataFrame | None = None, entities: DataFrame | None = None) -> DataFrame:
     """(id, text, n_masked) with typed placeholders such as [EMAIL] in place of personal data; null stays null."""
-    make = _finder(docs, lexicon)
+    make = _finder(docs, lexicon, entities)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = make()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cutoff, neardup, pii, repetition
+from . import cutoff, furniture, neardup, pii, repetition
 
 #: Table, id column and text column of the two corpora.
 CORPORA = (("documents", "doc_id", "text"), ("corpus_lines", "line_id", "content"))
@@ -17,6 +17,19 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _pages(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text", "site")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return furniture.furniture_lines(_pages(spark, folder)).withColumnRenamed("id", "doc_id")
+
+
+def p1_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    bodies = furniture.main_bodies(_pages(spark, folder))
+    return bodies.select(F.col("id").alias("doc_id"), F.md5("body").alias("body_md5"), F.length("body").cast("long").alias("body_chars"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
     return repetition.repetition(docs).where("share >= 0.3").select(F.col("id").alias("doc_id"))
@@ -55,16 +68,16 @@ def p7_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
-    found = pii.mentions(docs, read(spark, folder, "name_lexicon"))
+    found = pii.mentions(docs, *(read(spark, folder, t) for t in ("name_lexicon", "entity_list")))
     return found.select(F.col("id").alias("doc_id"), "start_pos", "kind")
 
 
 def p10_redacted(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
-    return pii.redact(docs, read(spark, folder, "name_lexicon")).select(F.col("id").alias("doc_id"), F.md5("text").alias("text_md5"), "n_masked")
+    return pii.redact(docs, *(read(spark, folder, t) for t in ("name_lexicon", "entity_list"))).select(F.col("id").alias("doc_id"), F.md5("text").alias("text_md5"), "n_masked")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_profile, p6_found, p6_cutoffs, p7_found, p7_groups, p10_found, p10_redacted)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_bodies, p2_found, p2_profile, p6_found, p6_cutoffs, p7_found, p7_groups, p10_found, p10_redacted)}
 
 _SCORED = """
 WITH good AS (SELECT line_id, ppl, scored_at FROM ppl_scores WHERE ppl > 0 AND ppl < 'infinity'::DOUBLE AND NOT isnan(ppl)),
