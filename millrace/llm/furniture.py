@@ -449,7 +449,9 @@ def fit(pages: list[tuple[list[tuple[int, ...]], list[int]]], rounds: int = 40,
 
 def train(docs: DataFrame, pages: int = TRAIN_PAGES, longest: int = 80) -> Model:
     """Model fitted on at most ``pages`` pages (text, site) drawn by hash; of each at most ``longest`` blocks count."""
-    some = docs.where("text is not null").select("id", "text", "site").orderBy(F.xxhash64("id", F.lit(17)), "id").limit(pages).collect()
+    drawn = docs.where("text is not null").select("id").orderBy(F.xxhash64("id", F.lit(17)), "id").limit(pages)
+    some = docs.select("id", "text", "site").join(F.broadcast(drawn), "id", "left_semi").where("text is not null").collect()
+    some.sort(key=lambda r: (r.id, r.text))
     examples = []
     for r in some:
         _, kinds, gap = blocks(r.text, r.site)

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cutoff, furniture, neardup, pii, repetition
+from . import cutoff, furniture, language, neardup, pii, prose, repetition
+
+from .store import table
 
 #: Table, id column and text column of the two corpora.
 CORPORA = (("documents", "doc_id", "text"), ("corpus_lines", "line_id", "content"))
@@ -40,6 +42,38 @@ def p2_profile(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.repetition(docs).withColumnRenamed("id", "doc_id")
 
 
+def _labelled(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text", "site", "url", F.col("lang").alias("label"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return language.cases(language.languages(_labelled(spark, folder))).withColumnRenamed("id", "doc_id")
+
+
+def p3_languages(spark: SparkSession, folder: str) -> DataFrame:
+    found = language.languages(_labelled(spark, folder))
+    return found.select(F.col("id").alias("doc_id"), "lang", F.round("confidence", 6).alias("confidence"), F.transform("second", lambda p: p["x"]).alias("second"))
+
+
+def _quality(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _pages(spark, folder)
+    measured = [
+        prose.measure(pages, furniture.train(pages)).withColumn("rec_table", F.lit("documents")),
+        prose.measure(read(spark, folder, "corpus_lines").select(F.col("line_id").alias("id"), F.col("content").alias("text"))).withColumn("rec_table", F.lit("corpus_lines")),
+    ]
+    both = table(measured[0].unionByName(measured[1]), "statistics")
+    return prose.outliers(both, ["rec_table", "id"])
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    junk = _quality(spark, folder).where("score > 0 and counted and junk_share > 0.5")
+    return junk.select("rec_table", F.col("id").alias("rec_id"))
+
+
+def p5_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return _quality(spark, folder).withColumnRenamed("id", "rec_id")
+
+
 def _cutoffs(spark: SparkSession, folder: str) -> cutoff.Cutoffs:
     return cutoff.Cutoffs(*(read(spark, folder, t) for t in ("corpus_lines", "ppl_scores", "keep_targets")))
 
@@ -77,7 +111,7 @@ def p10_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return pii.redact(docs, *(read(spark, folder, t) for t in ("name_lexicon", "entity_list"))).select(F.col("id").alias("doc_id"), F.md5("text").alias("text_md5"), "n_masked")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_bodies, p2_found, p2_profile, p6_found, p6_cutoffs, p7_found, p7_groups, p10_found, p10_redacted)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_bodies, p2_found, p2_profile, p3_found, p3_languages, p5_found, p5_statistics, p6_found, p6_cutoffs, p7_found, p7_groups, p10_found, p10_redacted)}
 
 _SCORED = """
 WITH good AS (SELECT line_id, ppl, scored_at FROM ppl_scores WHERE ppl > 0 AND ppl < 'infinity'::DOUBLE AND NOT isnan(ppl)),
