@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cutoff, furniture, language, neardup, pii, prose, repetition
+from . import cutoff, furniture, language, mixing, neardup, packing, pii, prose, repetition, sampling, tokens
 
 from .store import table
 
@@ -42,6 +42,39 @@ def p2_profile(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.repetition(docs).withColumnRenamed("id", "doc_id")
 
 
+SAMPLE_SIZE = 1000
+
+
+def p4_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces are staged in the order of their numbers; the sample is drawn after the last one."""
+    docs = read(spark, folder, "documents")
+    stage = sampling.Stage(spark)
+    for (piece,) in sorted((tuple(r) for r in docs.select("batch_no").distinct().collect()), key=lambda r: (r[0] is None, r[0])):
+        stage.arrive(docs.where(F.col("batch_no").eqNullSafe(F.lit(piece))).select("doc_id", "text", "batch_no"))
+    return stage.sample(SAMPLE_SIZE, seed=4).select("doc_id", "batch_no", "sample_rank", F.length("text").cast("long").alias("chars"))
+
+
+def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    jobs = [(r.job_name, r.capacity) for r in read(spark, folder, "pack_jobs").select("job_name", "capacity").collect()]  # a list kept by hand
+    sized = table(tokens.token_counts(docs), "tokens")
+    return packing.pack(sized, jobs).withColumnRenamed("id", "doc_id")
+
+
+def _mixture(spark: SparkSession, folder: str) -> mixing.Mixture:
+    docs = read(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text", "source", language.declared(F.col("lang")).alias("lang"))
+    sized = table(tokens.token_counts(docs.where("text is not null"), keep=("source", "lang")), "tokens")
+    return mixing.Mixture(sized, read(spark, folder, "mix_targets"))
+
+
+def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder).uses().withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder).shares().withColumn("target_share", F.round("target_share", 6)).withColumn("actual_share", F.round("actual_share", 6))
+
+
 def _labelled(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text", "site", "url", F.col("lang").alias("label"))
 
@@ -111,7 +144,7 @@ def p10_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return pii.redact(docs, *(read(spark, folder, t) for t in ("name_lexicon", "entity_list"))).select(F.col("id").alias("doc_id"), F.md5("text").alias("text_md5"), "n_masked")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_bodies, p2_found, p2_profile, p3_found, p3_languages, p5_found, p5_statistics, p6_found, p6_cutoffs, p7_found, p7_groups, p10_found, p10_redacted)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_bodies, p2_found, p2_profile, p3_found, p3_languages, p4_sample, p5_found, p5_statistics, p6_found, p6_cutoffs, p7_found, p7_groups, p8_packed, p9_mixture, p9_shares, p10_found, p10_redacted)}
 
 _SCORED = """
 WITH good AS (SELECT line_id, ppl, scored_at FROM ppl_scores WHERE ppl > 0 AND ppl < 'infinity'::DOUBLE AND NOT isnan(ppl)),
