@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .cutoff import clean_source
-from .store import table
+from ..store import table
 
 #: Default grouping of sources; a source that isn't named is a domain of its own.
 DOMAINS = {
@@ -158,7 +158,8 @@ class Mixture:
         total = sum(w for w, _ in self.targets.values())
         want = self.docs.sparkSession.createDataFrame([(s, w / total, r) for s, (w, r) in sorted(self.targets.items())], "source string, target_share double, max_repeats int")
         have = self.uses().groupBy("source").agg(F.count("*").alias("docs"), F.sum(F.col("tokens") * F.col("uses")).alias("tokens"), F.max("uses").alias("max_uses"))
-        all_ = have.agg(F.sum("tokens").alias("all_tokens"))
-        joined = want.join(have, "source", "left").crossJoin(F.broadcast(all_))  # one row
+        have = table(have, "shares")
+        all_ = have.agg(F.sum("tokens")).first()[0]
+        joined = want.join(have, "source", "left")
         zero = F.lit(0).cast("long")
-        return joined.select("source", "target_share", "max_repeats", F.coalesce("docs", zero).alias("docs"), F.coalesce("tokens", zero).alias("tokens"), F.coalesce("max_uses", zero).alias("max_uses"), (F.coalesce("tokens", zero) / F.col("all_tokens")).alias("actual_share"))
+        return joined.select("source", "target_share", "max_repeats", F.coalesce("docs", zero).alias("docs"), F.coalesce("tokens", zero).alias("tokens"), F.coalesce("max_uses", zero).alias("max_uses"), (F.coalesce("tokens", zero) / F.lit(float(all_ or 1))).alias("actual_share"))

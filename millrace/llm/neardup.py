@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import chunks, code_points, mix64, windows
-from .store import table
+from ..store import table
 
 DEPTH = 6
 GROUPS = 32
@@ -101,7 +101,7 @@ def signatures(texts: list[str | None], n: int, threshold: float) -> Iterator[tu
                 yield np.asarray(at)[rows + lo], count[rows], np.full(len(rows), klass), keys.view(np.int64), bits
 
 
-SIGNED = "id long, twin string, grams long, klass int, keys array<bigint>, s0 long, s1 long, s2 long"
+SIGNED = "id long, twin binary, grams int, klass int, keys array<bigint>, s0 long, s1 long, s2 long"
 
 
 def signed(records: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -116,8 +116,8 @@ def signed(records: DataFrame, n: int, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[at], pa.int64()),
-                        pa.array([hashlib.md5(texts[i].encode("utf-8", "surrogatepass")).hexdigest() for i in at], pa.string()),
-                        pa.array(grams, pa.int64()),
+                        pa.array([hashlib.md5(texts[i].encode("utf-8", "surrogatepass")).digest() for i in at], pa.binary()),
+                        pa.array(grams, pa.int32()),
                         pa.array(klass, pa.int32()),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, GROUPS), pa.int32()), pa.array(np.ascontiguousarray(keys).reshape(-1), pa.int64())),
                         *(pa.array(np.ascontiguousarray(bits[:, i]), pa.int64()) for i in range(3)),
@@ -187,13 +187,16 @@ class NearDuplicates:
         self.links = table(self._links(), "links")
 
     def candidates(self) -> DataFrame:
-        # both sides are the same rows, so that they are shuffled once
-        keyed = self.own.select(F.explode("keys").alias("key"), "id", "grams", "klass")
+        # both sides are the same rows, so that they are shuffled once; the class follows from the smaller set
+        keyed = self.own.select(F.explode("keys").alias("key"), "id", "grams")
         a, b, t = keyed.alias("a"), keyed.alias("b"), F.lit(self.threshold)
+        floors = [c[0] for c in CLASSES]
+        least = F.least("a.grams", "b.grams")
+        klass = sum((F.when(least >= f, 1).otherwise(0) for f in floors[1:]), F.lit(0))
         return (
             a.join(b, F.col("a.key") == F.col("b.key"))
             .where((F.col("a.id") < F.col("b.id")) & (F.col("a.grams") > t * F.col("b.grams")) & (F.col("b.grams") > t * F.col("a.grams")))
-            .select(F.col("a.klass").alias("klass"), F.col("a.id").alias("lo"), F.col("b.id").alias("hi"))
+            .select(klass.alias("klass"), F.col("a.id").alias("lo"), F.col("b.id").alias("hi"))
             .distinct()
         )
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import furniture
-from .store import table
+from ..store import table
 
 PROSE, ITEM, ROW, NONE = 0, 1, 2, 3
 
@@ -52,7 +52,7 @@ _ZH_STOP = re.compile(r"[，。；？！“”,.!?]")
 _AMOUNT = re.compile(r"^\s*(?:\d{1,4} ?(?:x|g|kg|mg|ml|l|cm|mm|m|km|pcs|pc|st|oz|lb|Stk|Stück|uds|pz|个|件|克|千克|毫升|厘米)\b|\d{1,2}[:：.h]\d\d\b)")
 _WORD = re.compile(r"[^\W\d_]+")
 _HAN = re.compile(r"[㐀-鿿豈-﫿]")
-_ENDS = re.compile(r"[.!?。！？…][\"”»“’')\]）」』]*$")
+ENDS = re.compile(r"[.!?。！？…][\"”»“’')\]）」』]*\s*$")
 _LOG = re.compile(r"^\[?(?:\d{4}-\d\d-\d\d[ T])?\d\d:\d\d:\d\d\S* \[?[A-Z]{3,}|^(?:DEBUG|INFO|WARN|WARNING|ERR|ERROR|TRACE|FATAL)\b")
 _CODE = re.compile(r"\w\(.*\)\s*;?\s*$.*|[;{}]\s*$")
 _CODE_SIGN = re.compile(r"[=(){}\[\]<>]|->|:=")
@@ -127,7 +127,7 @@ def line_classes(lines: list[str]) -> list[int]:
     n = len(lines)
     words = [_WORD.findall(plain(x)) for x in lines]
     han = [len(_HAN.findall(x)) for x in lines]
-    ends = [bool(_ENDS.search(x.strip())) for x in lines]
+    ends = [bool(ENDS.search(x.strip())) for x in lines]
     grid = [(-1, 1) if e and len(w) > 6 else cells(x) for x, e, w in zip(lines, ends, words, strict=True)]
     size = [len(w) + h // 2 for w, h in zip(words, han, strict=True)]
     out = [PROSE] * n
@@ -214,7 +214,7 @@ def statistics(body: str) -> tuple | None:
         round(letters / len(words), 2) if words else 0.0,
         round((solid - letters - digits) / solid, 3),
         round(digits / solid, 3),
-        round(sum(bool(_ENDS.search(x.strip())) for x in lines) / len(lines), 3),
+        round(sum(bool(ENDS.search(x.strip())) for x in lines) / len(lines), 3),
         round(hits / len(words), 3) if words else 0.0,
         round(sum(c != PROSE for c in classes) / len(lines), 3),
         round(sum(c in (ROW, NONE) for c in classes) / len(lines), 3),

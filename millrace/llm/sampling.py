@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import shared_dir
+from ..store import shared_dir
 
 #: Ranks up to this many go to the executors by broadcast; beyond it they are joined by shuffle.
 BROADCAST_RANKS = 200_000
