@@ -130,7 +130,6 @@ _EDGE = len(KINDS)
 _ENTRY = frozenset(_KIND[k] for k in ("numbered", "word", "headline", "nav"))
 
 
-@lru_cache(maxsize=100_000)
 def kind(line: str) -> int:
     """Kind of a non-blank line."""
     bare = line.strip()
@@ -138,6 +137,12 @@ def kind(line: str) -> int:
         return _KIND["long"]
     if len(bare) >= 110 and ("#" if bare[0].isdigit() else bare[:2].lower()) not in _PATTERNS and not _MARKS.search(bare):
         return _KIND["long"]
+    return _short_kind(line)
+
+
+@lru_cache(maxsize=100_000)
+def _short_kind(line: str) -> int:
+    bare = line.strip()
     n = normal(bare)
     if len(n) < 260:
         for name, p in _PATTERNS.get("#" if n[:1] == "#" else n[:2], ()):

@@ -67,13 +67,18 @@ _COMMA = re.compile(r"[,，、] ?")
 _LEAST_CELLS = (2, 2, 2, 2, 2, 2, 3)
 
 
-_ACCENTS = {c: unicodedata.normalize("NFD", chr(c))[0] for c in range(0xC0, 0x250) if unicodedata.normalize("NFD", chr(c))[0] != chr(c)}
+_ACCENTS = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in range(0xC0, 0x250) if unicodedata.normalize("NFD", chr(c))[0] != chr(c)}
+_ACCENTED = re.compile("[\xc0-\u024f]")
+
+
+def _bare(m: re.Match) -> str:
+    return _ACCENTS.get(m[0], m[0])
 
 
 def plain(s: str) -> str:
     """Lower case without accents."""
     s = s.lower()
-    return s if s.isascii() else s.translate(_ACCENTS)
+    return s if s.isascii() else _ACCENTED.sub(_bare, s)
 
 
 def cells(line: str) -> tuple[int, int]:

@@ -5,7 +5,7 @@ language, and the exact share of repeated characters.  The divergence alone cann
 sentences that says a third of them twice has the same histograms as one that doesn't.  So the share is measured on every
 document that passes the length guard, and decides.
 
-Nulls give no row; a text with fewer than ``width + 1`` letters and digits has share 0 and null divergences.
+Null ids and null texts give no row; a text with fewer than ``width + 1`` letters and digits has share 0 and null divergences.
 """
 
 from __future__ import annotations
@@ -147,7 +147,7 @@ def measure(docs: DataFrame, reference: dict[str, dict[str, float]], width: int
                     names=["id", "grp", "kept", "c1", "c2", "c3", "c4", "c5", "js_words", "share"],
                 )
 
-    return docs.where("text is not null").select("id", "text", F.coalesce(group("lang"), F.lit("")).alias("grp")).mapInArrow(run, MEASURED)
+    return docs.where("id is not null and text is not null").select("id", "text", F.coalesce(group("lang"), F.lit("")).alias("grp")).mapInArrow(run, MEASURED)
 
 
 def divergence(own: list, own_total, ref: list, ref_total):

@@ -4,7 +4,7 @@ Pieces are staged as they arrive.  After the last one the rows of each staged fi
 drawn uniformly below the total, and each rank is found as (file, row) by the prefix sums of the counts.  Every set of
 ``size`` rows is equally likely, whatever the sizes and the order of the pieces.
 
-Fewer rows than ``size``: all are returned.  Null and empty texts are rows like others.  Repeated rows count each.  A piece
+A column named ``sample_rank`` gives way to the rank.  Fewer rows than ``size``: all are returned.  Null and empty texts are rows like others.  Repeated rows count each.  A piece
 may be empty; without any rows the sample is empty.
 """
 
@@ -57,7 +57,8 @@ class Stage:
         file = np.searchsorted(ends, ranks, side="right")
         starts = np.concatenate([[0], ends])[file] if len(ranks) else ranks
         drawn = [(counts[f][0], int(r - s), int(r)) for f, r, s in zip(file, ranks, starts, strict=True)]
-        wanted = self.spark.createDataFrame(drawn, "_file string, _row long, sample_rank long")
-        rows = self.rows().select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        wanted = self.spark.createDataFrame(drawn, "__file string, __row long, sample_rank long")
+        own = [F.col(f"`{c}`") for c in self.schema.names if c not in ("sample_rank", "__file", "__row")]
+        rows = self.rows().select(*own, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
         wanted = F.broadcast(wanted) if len(drawn) <= BROADCAST_RANKS else wanted
-        return rows.join(wanted, ["_file", "_row"]).drop("_file", "_row")
+        return rows.join(wanted, ["__file", "__row"]).drop("__file", "__row")
