@@ -38,6 +38,46 @@ def mentions(docs: DataFrame, entities: DataFrame, unit: str = "word", id_col: s
     return rows.join(names, "gram").select("id", "entity").distinct()
 
 
+def leftmost_longest(docs: DataFrame, entities: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, entity) as a keyword processor finds them: the longest name at the leftmost place, and no name may share a space with the one before.
+
+    Between single spaces, case ignored, each entity once a document.  The dictionary is sent to every worker; it is a list kept by hand.
+    """
+    names = {tuple(r.entity.lower().split(" ")): r.entity for r in entities.where(F.length("entity") > 1).collect()}
+    longest = max(map(len, names), default=0)
+    given = docs.sparkSession.sparkContext.broadcast(names)
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        def find(text: str) -> list[str]:
+            known, tokens, out, i = given.value, text.lower().split(" "), {}, 0
+            while i < len(tokens):
+                for k in range(min(longest, len(tokens) - i), 0, -1):
+                    name = known.get(tuple(tokens[i : i + k]))
+                    if name is not None:
+                        out[name] = None
+                        i += k + 1
+                        break
+                else:
+                    i += 1
+            return list(out)
+
+        return texts.map(find, na_action="ignore")
+
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.explode(run(F.col(text_col))).alias("entity"))
+    return rows
+
+
+def segmented(docs: DataFrame, tokenizer, text_col: str = "text") -> DataFrame:
+    """Documents with their text as words between single spaces, by an injected tokenizer (str -> list of str), for scripts without spaces."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: " ".join(tokenizer(t)), na_action="ignore")
+
+    return docs.withColumn(text_col, run(F.col(text_col)))
+
+
 def entity_counts(found: DataFrame) -> DataFrame:
     """(entity, df): documents that hold each entity."""
     return found.groupBy("entity").agg(F.count("*").alias("df"))

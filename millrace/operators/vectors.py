@@ -23,6 +23,36 @@ def distance(name: str):
     return add
 
 
+def embed(docs: DataFrame, load, id_col: str = "doc_id", text_col: str = "text", max_len: int | None = None) -> DataFrame:
+    """(vec_id, embedding) by an injected model.
+
+    ``load`` is called once in each Python worker and gives a function from a list of texts to as many vectors; nulls are left out.
+    """
+
+    def run(batches):
+        import pandas as pd
+
+        model = load()
+        for b in batches:
+            texts = [t if max_len is None else t[:max_len] for t in b["text"]]
+            yield pd.DataFrame({"vec_id": b["id"].to_numpy(), "embedding": [list(map(float, v)) for v in model(texts)]})
+
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(run, "vec_id long, embedding array<float>")
+
+
+def batch_embeddings(batches: DataFrame, fisher) -> DataFrame:
+    """(id, v) by an injected function from the texts of a batch, in the order of slots, to one vector.  Batches (batch, slot, text) are of bounded size."""
+
+    def run(pdf):
+        import pandas as pd
+
+        texts = pdf.sort_values("slot")["text"].tolist()
+        return pd.DataFrame({"id": [int(pdf["batch"].iloc[0])], "v": [list(map(float, fisher(texts)))]})
+
+    return batches.groupBy("batch").applyInPandas(run, "id long, v array<double>")
+
+
 def mean_cosine(vectors: DataFrame, vec_col: str = "embedding") -> DataFrame:
     """(vectors, pairs, mean_cosine) over all pairs i < j, in one pass: the squared length of the sum of unit vectors holds every pair twice.
 

@@ -227,3 +227,26 @@ def test_stream(spark, tmp_path):
     live = stream.drop_repeats(stream.filter_stream(stream.read_stream(spark, str(tmp_path / "in"), rows.schema), ["strip_digits"]), "at")
     stream.run_once(live, str(tmp_path / "out"), str(tmp_path / "state"))
     assert [r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["a"]
+
+
+def test_leftmost_longest(spark):
+    d = docs(spark, [(1, "at old mill road old mill lamp"), (2, "old mill lamp"), (3, None)])
+    e = spark.createDataFrame([("Old Mill",), ("Old Mill Road",), ("lamp",)], "entity string")
+    assert {(r.id, r.entity) for r in knowledge.leftmost_longest(d, e).collect()} == {(1, "Old Mill Road"), (1, "lamp"), (2, "Old Mill")}
+    assert knowledge.segmented(docs(spark, [(1, "ab")]), list).first().text == "a b"
+
+
+def test_injected_models(spark):
+    d = docs(spark, [(1, "abc"), (2, None), (3, "de")])
+    got = {r.vec_id: r.embedding for r in vectors.embed(d, lambda: lambda texts: [[len(t), 1] for t in texts]).collect()}
+    assert got == {1: [3.0, 1.0], 3: [2.0, 1.0]}
+    b = spark.createDataFrame([(0, 1, "b"), (0, 0, "a"), (1, 0, "c")], "batch long, slot long, text string")
+    assert {r.id: r.v for r in vectors.batch_embeddings(b, lambda texts: [len(texts), ord(texts[0])]).collect()} == {0: [2.0, 97.0], 1: [1.0, 99.0]}
+
+
+def test_settings():
+    from millrace.settings import Settings
+
+    assert Settings().having(ngram=3, seeds=None) == Settings(ngram=3)
+    with pytest.raises(ValueError):
+        Settings().having(colour=1)
