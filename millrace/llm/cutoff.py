@@ -11,6 +11,7 @@ No step gathers the rows of a source: leaves are counted map-side, and a tree ha
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,8 +48,6 @@ def descend(counts: DataFrame, ranks: DataFrame, bits: int = BITS) -> DataFrame:
     """
 
     def run(key, tree_rows: pd.DataFrame, rank_rows: pd.DataFrame) -> pd.DataFrame:
-        if tree_rows.empty or rank_rows.empty:
-            return pd.DataFrame({"source": [], "leaf": [], "left": []})
         n = dict(zip(zip(tree_rows.depth, tree_rows.node, strict=True), tree_rows.n, strict=True))
         out = []
         for rank in rank_rows["rank"]:
@@ -61,7 +60,8 @@ def descend(counts: DataFrame, ranks: DataFrame, bits: int = BITS) -> DataFrame:
                 if left > below:
                     node, left = node + 1, left - below
             out.append((key[0], node, left))
-        return pd.DataFrame(out, columns=["source", "leaf", "left"])
+        columns = list(zip(*out, strict=True)) or [(), (), ()]
+        return pd.DataFrame({"source": pd.Series(columns[0], dtype=object), "leaf": np.array(columns[1], np.int64), "left": np.array(columns[2], np.int64)})
 
     left = counts.select(F.col("source").alias("own"), "depth", "node", "n")
     right = ranks.select(F.col("source").alias("wanted"), "rank")
@@ -118,10 +118,10 @@ def cutoffs(scored: DataFrame, targets: DataFrame, counts: DataFrame | None = No
     """(source, n, keep, cut_ppl, cut_line_id): the last kept line of each source by (ppl, line_id).
 
     Kept are the first floor(n * keep_pct / 100).  A share of 0 or less keeps none, 100 or more all.  Where none is kept both
-    cuts are null.  A source without target has no row.  Of several targets of a source the largest holds.
+    cuts are null.  A source without target, or with a null one, has no row.  Of several targets of a source the largest holds.
     """
-    goal = targets.select(clean_source(F.col("source")).alias("source"), F.greatest(F.lit(0), F.least(F.lit(100), F.col("keep_pct"))).cast("long").alias("pct"))
-    goal = goal.where("source is not null and pct is not null").groupBy("source").agg(F.max("pct").alias("pct"))
+    goal = targets.where("keep_pct is not null").select(clean_source(F.col("source")).alias("source"), F.greatest(F.lit(0), F.least(F.lit(100), F.col("keep_pct"))).cast("long").alias("pct"))
+    goal = goal.where("source is not null").groupBy("source").agg(F.max("pct").alias("pct"))
     counts = tree(scored.select("source", "code")) if counts is None else counts
     size = counts.where("depth = 0").select("source", "n").join(goal, "source").withColumn("keep", F.expr("n * pct div 100"))
     leaf = descend(counts, size.where("keep > 0").select("source", F.col("keep").alias("rank")))
