@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from ..functions.text import char_space, truncate_words, word_count
 
 
-def _grams(tokens: Column, longest: int, joiner: str) -> Column:
+def _grams(tokens: Column, lengths: list[int], joiner: str) -> Column:
+    """Distinct runs of tokens of the given lengths.  ``tokens`` must be a column of its own: it is read once for each run."""
+
     def runs_of(k: int) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: i + k <= F.size(tokens))
-        return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i + 1, k), joiner))
+        starts = F.when(F.size(tokens) >= k, F.sequence(F.lit(1), F.size(tokens) - (k - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, k), joiner))
 
-    runs = [runs_of(k) for k in range(1, longest + 1)]
-    return F.when(F.size(tokens) > 0, F.array_distinct(F.flatten(F.array(*runs)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.array(*map(runs_of, lengths))))
 
 
 def mentions(docs: DataFrame, entities: DataFrame, unit: str = "word", id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 200_000) -> DataFrame:
@@ -25,16 +26,15 @@ def mentions(docs: DataFrame, entities: DataFrame, unit: str = "word", id_col: s
     without spaces.  Texts become n-grams up to the longest name and meet the dictionary in an equi-join.
     """
     names = entities.select(F.lower("entity").alias("gram"), "entity").where(F.length("gram") > 1)
-    stats = names.agg(F.max(F.size(F.split("gram", " ")) if unit == "word" else F.length("gram")).alias("m"), F.count("*").alias("n")).first()
-    low = F.lower(F.col(text_col))
-    if unit == "word":
-        grams = _grams(F.split(low, " "), stats.m or 1, " ")
-    elif unit == "char":
-        grams = _grams(F.split(low, ""), stats.m or 1, "")
-    else:
+    if unit not in ("word", "char"):
         raise ValueError("unit must be word or char")
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.explode(grams).alias("gram"))
-    names = F.broadcast(names) if stats.n <= broadcast_rows else names
+    sizes = names.groupBy((F.size(F.split("gram", " ")) if unit == "word" else F.length("gram")).alias("k")).agg(F.count("*").alias("n")).collect()  # a row for each length of a name
+    if not sizes:
+        return docs.select(F.col(id_col).alias("id"), F.lit("").alias("entity")).where("false")
+    joiner = " " if unit == "word" else ""
+    split = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.split(F.lower(F.col(text_col)), joiner).alias("tokens"))
+    rows = split.select("id", F.explode(_grams(F.col("tokens"), sorted(r.k for r in sizes), joiner)).alias("gram"))
+    names = F.broadcast(names) if sum(r.n for r in sizes) <= broadcast_rows else names
     return rows.join(names, "gram").select("id", "entity").distinct()
 
 
