@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import jaccard, shingles
+from ..store import table
 
 PRIME = (1 << 31) - 1
 
@@ -72,6 +73,7 @@ def prefix_candidates(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_co
     ordered = rows.join(frequency, "g").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("s")).withColumn("k", F.size("s"))
     prefix = (F.col("k") - F.ceil(F.lit(float(threshold)) * F.col("k")) + 1).cast("int")
     keyed = ordered.select("id", "k", F.explode(F.slice("s", F.lit(1), prefix)).alias("p")).where("p.df > 1").select("id", "k", "p.g")
+    keyed = table(keyed, "prefixes")  # read by both sides
     a, b = keyed.alias("a"), keyed.alias("b")
     t = F.lit(float(threshold))
     on = (F.col("a.g") == F.col("b.g")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.k") >= t * F.col("b.k")) & (F.col("b.k") >= t * F.col("a.k"))
@@ -94,7 +96,8 @@ def verify_pairs(pairs: DataFrame, docs: DataFrame, threshold: float = 0.8, n: i
 def candidate_pairs(docs: DataFrame, method: str = "lsh", threshold: float = 0.8, n: int = 5, seeds: int = 100, bands: int = 20, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Candidates by ``lsh`` (recall by seeds and bands) or ``exact`` (none lost)."""
     if method == "lsh":
-        return lsh_candidates(lsh_bands(minhash(docs, seeds, n, seed, id_col, text_col), bands, seeds))
+        # both sides of the pairing read the fingerprints, so they are kept
+        return lsh_candidates(lsh_bands(table(minhash(docs, seeds, n, seed, id_col, text_col), "fingerprints"), bands, seeds))
     if method == "exact":
         return prefix_candidates(docs, threshold, n, id_col, text_col)
     raise ValueError("method must be lsh or exact")
@@ -141,8 +144,6 @@ def kept_ratio(total: DataFrame, kept: DataFrame) -> DataFrame:
 
 def components(pairs: DataFrame, max_rounds: int = 30) -> DataFrame:
     """(id, root) of every id in a pair: the smallest id of its connected group."""
-    from ..store import table
-
     both = table(pairs.select("lo", "hi").unionByName(pairs.select(F.col("hi").alias("lo"), F.col("lo").alias("hi"))).distinct(), "edges")
     label = both.groupBy("lo").agg(F.least(F.min("hi"), F.first("lo")).alias("root")).select(F.col("lo").alias("id"), "root")
     for _ in range(max_rounds):
