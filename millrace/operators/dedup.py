@@ -34,14 +34,56 @@ def shingle_rows(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col).alias("id"), F.explode(shingles(F.col(text_col), n)).alias("g"))
 
 
-def minhash(docs: DataFrame, seeds: int = 100, n: int = 5, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): ``seeds`` minima of each document.  All shingles of a document are in one task, so one row each is shuffled."""
+def minhash(docs: DataFrame, seeds: int = 100, n: int = 5, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", method: str = "arrow") -> DataFrame:
+    """(id, fp): ``seeds`` minima over the shingles of each document that has any.
+
+    ``arrow`` hashes whole batches with numpy and moves nothing; ``sql`` takes the first 7 hex digits of the MD5 of a shingle and
+    minima in an aggregation, which other engines can repeat, but is slow for many seeds.
+    """
+    if method == "arrow":
+        return _minhash_arrow(docs, seeds, n, seed, id_col, text_col)
+    if method != "sql":
+        raise ValueError("method must be arrow or sql")
     h = F.conv(F.substring(F.md5("g"), 1, 7), 16, 10).cast("long")
     rows = shingle_rows(docs, n, id_col, text_col).select("id", h.alias("h"))
     mins = [F.min((F.lit(a) * F.col("h") + F.lit(b)) % F.lit(PRIME)).alias(f"m{i}") for i, (a, b) in enumerate(coefficients(seeds, seed))]
     return rows.groupBy("id").agg(*mins).select("id", F.array(*(f"m{i}" for i in range(seeds))).alias("fp"))
 
 
+def _minhash_arrow(docs: DataFrame, seeds: int, n: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    family = coefficients(seeds, seed)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        factor = np.array([a for a, _ in family], np.uint64)[:, None]
+        shift = np.array([b for _, b in family], np.uint64)[:, None]
+        for b in batches:
+            ids, rows = [], []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if len(text) < n:
+                    continue
+                points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+                h = np.zeros(len(points) - n + 1, np.uint64)
+                for k in range(n):
+                    h = (h ^ points[k : len(points) - n + 1 + k]) * np.uint64(0x100000001B3)
+                    h ^= h >> np.uint64(29)
+                h = np.unique(h >> np.uint64(33))
+                least = np.full(seeds, PRIME, np.int64)
+                for at in range(0, len(h), 4096):  # bounded memory for very long texts
+                    part = (factor * h[None, at : at + 4096] + shift) % np.uint64(PRIME)
+                    least = np.minimum(least, part.min(1).astype(np.int64))
+                ids.append(i)
+                rows.append(least)
+            flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+            fps = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, seeds), pa.int32()), pa.array(flat, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), fps], names=["id", "fp"])
+
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    return own.mapInArrow(run, "id long, fp array<bigint>")
+
+
 def lsh_bands(fingerprints: DataFrame, bands: int = 20, seeds: int | None = None) -> DataFrame:
     """(id, band, bucket) of fingerprints; the number of seeds must be a multiple of the number of bands."""
     if seeds is None:
@@ -61,6 +103,14 @@ def lsh_candidates(bands: DataFrame) -> DataFrame:
     return a.join(b, on).select(F.col("a.id").alias("lo"), F.col("b.id").alias("hi")).distinct()
 
 
+def likely(pairs: DataFrame, fingerprints: DataFrame, threshold: float, seeds: int, sigmas: float = 6.0) -> DataFrame:
+    """Pairs whose fingerprints agree in as many places as a pair at the threshold does, less six deviations: spares most texts of pairs that only share a band."""
+    least = seeds * threshold - sigmas * (seeds * threshold * (1 - threshold)) ** 0.5
+    both = pairs.join(fingerprints.select(F.col("id").alias("lo"), F.col("fp").alias("f0")), "lo").join(fingerprints.select(F.col("id").alias("hi"), F.col("fp").alias("f1")), "hi")
+    agree = F.aggregate(F.zip_with("f0", "f1", lambda a, b: (a == b).cast("int")), F.lit(0), lambda t, x: t + x)
+    return both.where(agree >= F.lit(float(least))).select("lo", "hi")
+
+
 def prefix_candidates(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(lo, hi): a superset of all pairs above the threshold, without loss.
 
@@ -97,7 +147,8 @@ def candidate_pairs(docs: DataFrame, method: str = "lsh", threshold: float = 0.8
     """Candidates by ``lsh`` (recall by seeds and bands) or ``exact`` (none lost)."""
     if method == "lsh":
         # both sides of the pairing read the fingerprints, so they are kept
-        return lsh_candidates(lsh_bands(table(minhash(docs, seeds, n, seed, id_col, text_col), "fingerprints"), bands, seeds))
+        fps = table(minhash(docs, seeds, n, seed, id_col, text_col), "fingerprints")
+        return likely(lsh_candidates(lsh_bands(fps, bands, seeds)), fps, threshold, seeds)
     if method == "exact":
         return prefix_candidates(docs, threshold, n, id_col, text_col)
     raise ValueError("method must be lsh or exact")

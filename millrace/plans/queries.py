@@ -168,7 +168,7 @@ def _lsh_sql() -> str:
 
 @query(_lsh_sql())
 def lsh_candidates(spark, folder):
-    return dedup.lsh_candidates(dedup.lsh_bands(dedup.minhash(_lines(spark, folder), _SEEDS), _BANDS, _SEEDS))
+    return dedup.lsh_candidates(dedup.lsh_bands(dedup.minhash(_lines(spark, folder), _SEEDS, method="sql"), _BANDS, _SEEDS))
 
 
 @query("SELECT j / 20.0::DOUBLE AS similarity, round(1 - pow(1 - pow(j / 20.0::DOUBLE, 20), 10), 6) AS s200_b10, round(1 - pow(1 - pow(j / 20.0::DOUBLE, 10), 15), 6) AS s150_b15, round(1 - pow(1 - pow(j / 20.0::DOUBLE, 5), 20), 6) AS s100_b20 FROM range(0, 21) r(j)")
