@@ -18,8 +18,8 @@ def fuzzy_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return kept, removed, pairs
 
 
-def quality_split(docs: DataFrame, scorer: lm.Scorer, sample_size: int | None = None, q: float = 0.8, unit: str = "char", truncation: int = 1024, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
-    """Documents, or a sample of them, with ``ppl``, ``rank`` and ``label`` pos or neg."""
+def quality_split(docs: DataFrame, scorer: lm.Scorer, sample_size: int | None = None, q: float = 0.8, unit: str = "char", truncation: int | None = None, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
+    """Documents, or a sample of them, with ``ppl``, ``rank`` and ``label`` pos or neg.  Whole texts are scored unless ``truncation`` is given."""
     some = docs if sample_size is None else sampling.sample(docs, sample_size, seed, id_col)
     return lm.split_by_quantile(lm.perplexity(some, scorer, text_col, unit, truncation), "ppl", q, id_col)
 

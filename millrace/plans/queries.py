@@ -256,7 +256,7 @@ def unigram_perplexity(spark, folder):
 def quality_split(spark, folder):
     lines = read(spark, folder, "corpus_lines").select(F.col("line_id").alias("doc_id"), F.col("content").alias("text"))
     counts = table(lm.unigrams(lines, unit="char"), "unigrams")
-    return flows.quality_split(lines, lm.unigram_scorer(counts)).select("doc_id", F.round("ppl", 4).alias("ppl"), "rank", "label")
+    return flows.quality_split(lines, lm.unigram_scorer(counts), truncation=None).select("doc_id", F.round("ppl", 4).alias("ppl"), "rank", "label")
 
 
 _ONE, _NIL = "contains(coalesce(response, ''), '1')", "contains(coalesce(response, ''), '0')"
