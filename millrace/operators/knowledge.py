@@ -110,8 +110,8 @@ def mtld_of(tokens: list[str], threshold: float = 0.72) -> float:
     return (one(tokens) + one(tokens[::-1])) / 2 if tokens else 0.0
 
 
-def mtld(docs: DataFrame, lang: str = "en", max_len: int = 512, text_col: str = "text") -> DataFrame:
-    """Documents with ``mtld`` of their first ``max_len`` words (zh: characters)."""
+def mtld(docs: DataFrame, lang: str = "en", max_len: int | None = None, text_col: str = "text") -> DataFrame:
+    """Documents with ``mtld`` of their whole text, or of its first ``max_len`` words (zh: characters) if that is given."""
     if lang not in ("en", "zh"):
         raise ValueError("lang must be en or zh")
 
@@ -119,5 +119,9 @@ def mtld(docs: DataFrame, lang: str = "en", max_len: int = 512, text_col: str =
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: mtld_of(t.lower().split()), na_action="ignore").astype("float64")
 
-    text = truncate_words(F.col(text_col), max_len) if lang == "en" else char_space(F.substring(text_col, 1, max_len))
+    text = F.col(text_col)
+    if lang == "en":
+        text = text if max_len is None else truncate_words(text, max_len)
+    else:
+        text = char_space(text if max_len is None else F.substring(text, 1, max_len))
     return docs.withColumn("mtld", run(text))

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 import __spark_entry__ as entry
+from millrace.operators import knowledge
 
 
 def lay(spark, folder, name, rows, schema):
@@ -22,3 +23,14 @@ def test_quality_split_ranks_whole_lines(spark, tmp_path):
     got = {r.doc_id: r for r in entry.queries()["quality_split"](spark, str(tmp_path)).collect()}
     assert {i: r.ppl for i, r in got.items()} == pytest.approx(want, abs=1e-4)
     assert sorted(got, key=lambda i: got[i]["rank"]) == sorted(want, key=lambda i: (want[i], i))
+
+
+def test_mtld_measures_whole_documents(spark, tmp_path):
+    rare = [f"w{k}" for k in range(512)]
+    texts = {1: " ".join(rare + ["same"] * 400), 2: "\n".join(rare[:500] * 3), 3: "one two one"}
+    lay(spark, tmp_path, "documents", list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.mtld for r in entry.queries()["mtld"](spark, str(tmp_path)).collect()}
+    assert got == {i: round(knowledge.mtld_of(t.split()), 6) for i, t in texts.items()}
+    zh = spark.createDataFrame([("月岚港" * 300,)], "text string")
+    assert knowledge.mtld(zh, "zh").first().mtld == pytest.approx(knowledge.mtld_of(list("月岚港" * 300)))
+    assert knowledge.mtld(zh, "zh", 9).first().mtld == pytest.approx(knowledge.mtld_of(list("月岚港" * 3)))
