@@ -41,7 +41,7 @@ def _list(rows: DataFrame, order: str, *columns: str) -> DataFrame:
 def profile(
     docs: DataFrame,
     metrics: list[str] | tuple[str, ...] = METRICS,
-    n: int = 10_000,
+    n: int | None = 10_000,
     lang: str = "en",
     seed: int = 0,
     entities: DataFrame | None = None,
@@ -51,11 +51,16 @@ def profile(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row with the metrics asked for, over a sample of n documents.  ``embeddings``: (vec_id, embedding[, label])."""
+    """One row with the metrics asked for, over a sample of n documents and n vectors by hash, or over all of them if n is None.  ``embeddings``: (vec_id, embedding[, label]).
+
+    Lists have an entry for each document and are one cell each, so their length bounds what None is good for.  ``list_sim_semantic`` has
+    drawn pairs, a tenth as many as vectors; ``mean_sim_semantic`` is over all pairs.
+    """
     unknown = set(metrics) - set(METRICS)
     if unknown:
         raise ValueError(f"unknown metrics: {sorted(unknown)}")
-    some = sampling.sample(docs.where(F.col(text_col).isNotNull()), n, seed, id_col).cache()
+    some = docs.where(F.col(text_col).isNotNull())
+    some = some if n is None else sampling.sample(some, n, seed, id_col).cache()
     parts: list[DataFrame] = []
     if "length" in metrics:
         rows = length_profile(some, id_col, text_col)
@@ -69,10 +74,12 @@ def profile(
         ppl = lm.perplexity(some.withColumn(text_col, normalise_space(F.col(text_col))), score, text_col, "word" if lang == "en" else "char", None)
         parts.append(_list(ppl, id_col, "ppl").withColumnRenamed("ppl", "list_kenlm_ppl"))
     if embeddings is not None:
-        vecs = embeddings.select("vec_id", "embedding").orderBy("vec_id").limit(n)
+        vecs = embeddings.select("vec_id", "embedding")
+        vecs = vecs if n is None else sampling.sample(vecs, n, seed, "vec_id")
         if "semantic" in metrics:
             sims = vectors.pair_cosines(vecs, max(1, vecs.count() // 10), seed)
             parts.append(sims.agg(F.array_sort(F.collect_list("sim")).alias("list_sim_semantic")))
+            parts.append(vectors.mean_cosine(vecs).select(F.col("mean_cosine").alias("mean_sim_semantic")))
         if "cluster" in metrics:
             m, sims = vectors.cluster_profile(vectors.kmeans(vecs, clusters, seed=seed))
             parts.append(_list(m, "cluster", "size").withColumnRenamed("size", "list_cluster_size"))

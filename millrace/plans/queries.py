@@ -351,7 +351,7 @@ def mtld(spark, folder):
 @query()
 def corpus_profile(spark, folder):
     v = read(spark, folder, "embeddings")
-    return flows.profile(read(spark, folder, "documents"), n=500, entities=_entities(spark, folder), embeddings=v, clusters=10)
+    return flows.profile(read(spark, folder, "documents"), n=None, entities=_entities(spark, folder), embeddings=v)
 
 
 @query("SELECT CAST(time_bucket(INTERVAL 1 DAY, fetched_at) AS DATE)::VARCHAR AS day, source, count(*) AS docs FROM documents WHERE fetched_at IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2")

@@ -1,12 +1,15 @@
 """Registered queries do the whole job: on tables whose texts and ids a cut would tell apart."""
 
 import math
+import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from millrace.operators import knowledge
+from millrace.operators import knowledge, sampling
+from millrace.plans import flows
 
 
 def lay(spark, folder, name, rows, schema):
@@ -34,3 +37,27 @@ def test_mtld_measures_whole_documents(spark, tmp_path):
     zh = spark.createDataFrame([("月岚港" * 300,)], "text string")
     assert knowledge.mtld(zh, "zh").first().mtld == pytest.approx(knowledge.mtld_of(list("月岚港" * 300)))
     assert knowledge.mtld(zh, "zh", 9).first().mtld == pytest.approx(knowledge.mtld_of(list("月岚港" * 3)))
+
+
+def test_corpus_profile_has_all_documents_and_vectors(spark, tmp_path):
+    rng = random.Random(2)
+    n = 600
+    lay(spark, tmp_path, "documents", [(i, "word " * (i + 1)) for i in range(n)] + [(n, None)], "doc_id long, text string")
+    lay(spark, tmp_path, "entity_list", [("word", "字词")], "name_en string, name_zh string")
+    vecs = [(i, [rng.gauss(0, 1) + (i >= 500) for _ in range(4)], i % 3) for i in range(n)]
+    lay(spark, tmp_path, "embeddings", vecs, "vec_id long, embedding array<float>, label int")
+    got = entry.queries()["corpus_profile"](spark, str(tmp_path)).first()
+    assert got.list_doc_length == [i + 1 for i in range(n)] and len(got.list_mtld_score) == len(got.list_kenlm_ppl) == n
+    assert got.list_mtld_score[599] == pytest.approx(knowledge.mtld_of(["word"] * 600))
+    assert sum(got.list_cluster_size) == n and len(got.list_cluster_size) > 50 and len(got.list_sim_semantic) == n // 10
+    unit = np.array([v for _, v, _ in vecs])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    assert got.mean_sim_semantic == pytest.approx((unit @ unit.T)[np.triu_indices(n, 1)].mean(), abs=1e-5)
+
+
+def test_profile_draws_vectors_by_hash(spark):
+    vecs = spark.createDataFrame([(i, [1.0, 0.0] if i < 40 else [-1.0, 0.1]) for i in range(400)], "vec_id long, embedding array<float>")
+    got = flows.profile(spark.createDataFrame([(1, "a")], "doc_id long, text string"), ["semantic"], n=40, embeddings=vecs).first()
+    drawn = {r.vec_id for r in sampling.sample(vecs, 40, 0, "vec_id").collect()}
+    few = sum(i < 40 for i in drawn)
+    assert few < 40 and got.mean_sim_semantic == pytest.approx((few * (few - 1) / 2 + (40 - few) * (39 - few) / 2 - few * (40 - few) / 1.01**0.5) / 780, abs=1e-5)
