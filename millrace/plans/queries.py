@@ -195,6 +195,24 @@ def sample_batches(spark, folder):
     return b.select("batch", "slot", F.md5("text").alias("text_md5")).join(whole, "text_md5", "left_semi").select("batch", "slot", "text_md5")
 
 
+def _batches_sql(count: int, size: int, chars: int) -> str:
+    slots = count * size
+    return (
+        "WITH t AS (SELECT text, row_number() OVER (ORDER BY md5('0:' || doc_id), doc_id) - 1 AS r FROM documents WHERE text IS NOT NULL),"
+        f" s AS (SELECT r % {count} AS batch, r // {count} AS slot, left(text, {chars}) AS text FROM t WHERE r < {slots}),"
+        f" k AS (SELECT batch, slot, row_number() OVER (ORDER BY slot, batch) AS k FROM s WHERE length(text) < {chars}),"
+        f" m AS (SELECT batch, slot, t.text AS more FROM k JOIN t ON t.r = {slots} + k.k - 1 WHERE t.r < {2 * slots})"
+        f" SELECT batch::BIGINT AS batch, slot::BIGINT AS slot, md5(CASE WHEN more IS NULL THEN s.text ELSE left(s.text || chr(10) || chr(10) || more, {chars}) END) AS text_md5"
+        " FROM s LEFT JOIN m USING (batch, slot)"
+    )
+
+
+@query(_batches_sql(50, 512, 512))
+def sample_batches_filled(spark, folder):
+    """All slots, those that were filled up too, at the reference's 50 batches of 512 texts of 512 characters."""
+    return sampling.sample_batches(read(spark, folder, "documents"), 50, 512, 512).select("batch", "slot", F.md5("text").alias("text_md5"))
+
+
 _RULED = "SELECT doc_id, source, text, regexp_replace(regexp_replace(text, '[0-9]+', '', 'g'), '\n{2,}', chr(10), 'g') AS t FROM documents"
 
 

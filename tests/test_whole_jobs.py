@@ -1,15 +1,18 @@
 """Registered queries do the whole job: on tables whose texts and ids a cut would tell apart."""
 
+import hashlib
 import math
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
 from millrace.operators import knowledge, sampling
-from millrace.plans import flows
+from millrace.plans import flows, queries
 
 
 def lay(spark, folder, name, rows, schema):
@@ -61,3 +64,25 @@ def test_profile_draws_vectors_by_hash(spark):
     drawn = {r.vec_id for r in sampling.sample(vecs, 40, 0, "vec_id").collect()}
     few = sum(i < 40 for i in drawn)
     assert few < 40 and got.mean_sim_semantic == pytest.approx((few * (few - 1) / 2 + (40 - few) * (39 - few) / 2 - few * (40 - few) / 1.01**0.5) / 780, abs=1e-5)
+
+
+def test_batches_have_all_slots_filled_up(spark):
+    rng = random.Random(4)
+    rows = [(i, None if i % 17 == 0 else chr(97 + i % 26) * rng.choice([3, 20, 60])) for i in range(90)]
+    drawn = [t for _, t in sorted((hashlib.md5(f"0:{i}".encode()).hexdigest(), t) for i, t in rows if t is not None)]
+    want = {(r % 4, r // 4): t[:30] for r, t in enumerate(drawn[:20])}
+    spare = iter(drawn[20:40])
+    for slot, batch in sorted((s, b) for b, s in want):
+        if len(want[batch, slot]) < 30 and (more := next(spare, None)) is not None:
+            want[batch, slot] = f"{want[batch, slot]}\n\n{more}"[:30]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.batch, r.slot): r.text for r in sampling.sample_batches(docs, 4, 5, 30).collect()} == want
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    assert {(b, s): h for b, s, h in con.sql(queries._batches_sql(4, 5, 30)).fetchall()} == {k: hashlib.md5(t.encode()).hexdigest() for k, t in want.items()}
+
+
+def test_sample_batches_filled_keeps_short_texts(spark, tmp_path):
+    lay(spark, tmp_path, "documents", [(i, "short" if i % 2 else "long " * 200) for i in range(60)], "doc_id long, text string")
+    got = entry.queries()["sample_batches_filled"](spark, str(tmp_path)).collect()
+    assert len(got) == 60 and sum(r.text_md5 == hashlib.md5(b"short").hexdigest() for r in got) == 30
