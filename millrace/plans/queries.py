@@ -145,9 +145,13 @@ def dedup_components(spark, folder):
 
 @query()
 def lsh_pairs(spark, folder):
-    """Default path at scale: 100 seeds in 20 bands, copies collapsed, similarity verified."""
-    found = dedup.duplicates(read(spark, folder, "documents"), "lsh")
-    return found.select("lo", "hi", F.round("sim", 6).alias("sim"))
+    """Default path at scale: 100 seeds in 20 bands, copies collapsed, similarity verified.
+
+    Links between representatives, and with ``copy`` the membership of every other record: (id, rep) of equal texts that have shingles.
+    """
+    own, spare = dedup.collapsed(read(spark, folder, "documents"))
+    links = dedup.verify_pairs(dedup.candidate_pairs(own, "lsh"), own).select("lo", "hi", F.round("sim", 6).alias("sim"), F.lit(False).alias("copy"))
+    return links.unionByName(spare.where("chars >= 5").select(F.col("id").alias("lo"), F.col("rep").alias("hi"), F.lit(1.0).alias("sim"), F.lit(True).alias("copy")))
 
 
 _SEEDS, _BANDS = 12, 4

@@ -86,3 +86,13 @@ def test_sample_batches_filled_keeps_short_texts(spark, tmp_path):
     lay(spark, tmp_path, "documents", [(i, "short" if i % 2 else "long " * 200) for i in range(60)], "doc_id long, text string")
     got = entry.queries()["sample_batches_filled"](spark, str(tmp_path)).collect()
     assert len(got) == 60 and sum(r.text_md5 == hashlib.md5(b"short").hexdigest() for r in got) == 30
+
+
+def test_lsh_pairs_have_links_and_members(spark, tmp_path):
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefghij ") for _ in range(300)) for _ in range(3)]
+    rows = [(1, base[0]), (2, base[0]), (3, base[0] + " end"), (4, base[0] + " end"), (5, base[1]), (6, base[1]), (7, base[2]), (8, "abc"), (9, "abc"), (10, None), (11, None)]
+    lay(spark, tmp_path, "documents", rows, "doc_id long, text string")
+    got = {(r.lo, r.hi): r for r in entry.queries()["lsh_pairs"](spark, str(tmp_path)).collect()}
+    assert {k for k, r in got.items() if r["copy"]} == {(1, 2), (3, 4), (5, 6)} and all(r.sim == 1 for r in got.values() if r["copy"])
+    assert {k for k, r in got.items() if not r["copy"]} == {(2, 4)} and 0.8 < got[2, 4].sim < 1
