@@ -99,7 +99,7 @@ def _quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    junk = _quality(spark, folder).where("score > 0 and counted and junk_share > 0.5")
+    junk = _quality(spark, folder).where("counted and junk_share > 0.5")
     return junk.select("rec_table", F.col("id").alias("rec_id"))
 
 

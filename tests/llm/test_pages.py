@@ -160,3 +160,12 @@ def test_masking(spark):
     spans = pii.mentions(d, names).where("id = 20").orderBy("start_pos").collect()
     assert [(r.start_pos, r.kind) for r in spans] == [(4, "name"), (18, "email"), (44, "phone")]
     assert pii.mentions(docs(spark, [])).count() == 0
+
+
+def test_junk_record_alone_in_its_language_is_found(spark, monkeypatch):
+    from millrace.llm import queries
+
+    rows = [("documents", 1, 0.0, True, 0.9), ("documents", 2, 4.0, True, 0.9), ("documents", 3, 4.0, True, 0.1), ("documents", 4, 0.0, False, 0.9)]
+    measured = spark.createDataFrame(rows, "rec_table string, id long, score double, counted boolean, junk_share double")
+    monkeypatch.setattr(queries, "_quality", lambda s, folder: measured)
+    assert sorted(r.rec_id for r in queries.p5_found(spark, "").collect()) == [1, 2]
