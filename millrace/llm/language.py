@@ -158,6 +158,11 @@ class Judge:
 _SCHEMA = "id long, site string, suffix string, label string, words long, bare double, " + ", ".join(f"l_{x} double, s_{x} long" for x in LANGUAGES)
 
 
+def bare_share(lines: list[str]) -> float:
+    """Share of a body's lines that are rows, dumps or noise, whatever they end with; 1 if there are none."""
+    return sum(c in (prose.ROW, prose.NONE) for c in prose.line_classes(lines)) / len(lines) if lines else 1.0
+
+
 def evidence(docs: DataFrame, words: dict[str, tuple[float, ...]], model: furniture.Model) -> DataFrame:
     """Text evidence of docs (id, text, site, url, label)."""
     given = docs.sparkSession.sparkContext.broadcast((words, model.unary, model.pair))
@@ -171,9 +176,7 @@ def evidence(docs: DataFrame, words: dict[str, tuple[float, ...]], model: furnit
             for i, text, site, suffix, label in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
                 body = furniture.own_body(pages, text, site)
                 lines = [x for x in body.split("\n") if x.strip()]
-                # lines that end as sentences do are neither rows nor dumps
-                closed = sum(bool(prose.ENDS.search(x)) for x in lines)
-                bare = 1.0 if not lines else 0.0 if closed >= 0.6 * len(lines) else sum(c in (prose.ROW, prose.NONE) for c in prose.line_classes(lines)) / len(lines)
+                bare = bare_share(lines)
                 whole, n, han, own = judge.body(body)
                 # two Han characters make a word: 15 characters are the least, as 8 words are elsewhere
                 size = n if han * 2 <= n else (8 if han >= 15 else 0)

@@ -169,3 +169,10 @@ def test_junk_record_alone_in_its_language_is_found(spark, monkeypatch):
     measured = spark.createDataFrame(rows, "rec_table string, id long, score double, counted boolean, junk_share double")
     monkeypatch.setattr(queries, "_quality", lambda s, folder: measured)
     assert sorted(r.rec_id for r in queries.p5_found(spark, "").collect()) == [1, 2]
+
+
+def test_noise_that_ends_as_sentences_is_no_language():
+    from millrace.llm import language
+
+    assert language.bare_share(["#7f 91 == 88 41 ## 20 93 %% 17.", "Ã¤Ã¶ Ã¼Ã© Ã¢Â€ Ã±Ã³ Ã¨Ã´ Ã«Ã¯ Ã¥Ã¸."] * 2) == 1
+    assert language.bare_share(["The river was high in the morning and we went home."] * 4) == 0
