@@ -1,352 +1,343 @@
 """Main content of web pages: a linear-chain conditional random field over the blocks of a page, decoded by Viterbi.
 
-The blocks of a page are its non-blank lines; where the markup of a page is gone, the kind of a block (menu line, headline, list
-item, sentence, ...) stands in for its ancestor tags.  States: body, furniture (menus, notices, controls, footers) and side box
-(heading, entries and teasers of a box).  Features of a block are its own kind and shape, those of its neighbours, its place
-on the page, and its distance to the last box heading.
-
-The model is fitted on a bounded sample of pages (``TRAIN_PAGES``) that are labelled by ``label_page``: fixed phrases of
-notices, controls and footers, and the structure of menus and boxes.  Fitting is deterministic.  Decoding covers every page.
-
-Nulls and blank texts have no blocks and give no rows.  Blank lines are never furniture.
+The blocks of a page are its non-blank lines.  Where the markup is gone, the shape of a block (length, separators, bullets, end,
+case, figures) and its place stand in for its ancestor tags; its words are features too.  States: body, furniture (menus,
+notices, controls, footers) and side box (heading, entries and teasers of a box).  No phrase is written down here: what
+furniture says is learned from the corpus.
+
+Labels come from repetition.  What is furniture stands on many pages of a site, or of many sites, around different bodies; so
+the lines of a bounded sample of pages (``TRAIN_PAGES``) are counted over all pages, by site and in total, after figures and
+host names are taken out.  Pages with the same longest line count once, so that copies of a page don't make its body look
+like furniture.  A repeated line that is mostly followed by new short lines heads a box, and these lines are its entries.
+Lines that the counts leave open have no label: the field is fitted to partial labels by expectation.
+
+Fitting is deterministic.  Decoding covers every page.  Nulls and blank texts have no blocks and give no rows.  Blank lines are
+never furniture.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_PAGES = 1000
+from ..store import table
+
+#: Most pages that the field is fitted on, drawn by hash; whole pages count.
+TRAIN_PAGES = 1500
 BODY, FURNITURE, BOX = 0, 1, 2
 STATES = 3
-
-# ---------------------------------------------------------------------------------------------------------------------
-# Phrases of page furniture in six languages; '#' stands for a number, '@' for a host name.
-
-PHRASES = {
-    "consent": """
-        accept all reject all manage preferences|this site stores small files on your device.*|# partners would like to process your browsing data.*|strictly necessary storage is always on.*|we use cookies to keep .*|your privacy matters.*
-        alle akzeptieren ablehnen einstellungen|diese seite speichert kleine dateien auf ihrem gerät.*|# partner möchten ihre daten verarbeiten.*|ihre privatsphäre ist uns wichtig.*|wir verwenden cookies.*|unbedingt erforderliche .*
-        tout accepter tout refuser paramétrer|ce site dépose de petits fichiers sur votre appareil.*|# partenaires souhaitent traiter vos données.*|nous utilisons des cookies.*|le respect de votre vie privée.*|votre vie privée .*
-        aceptar todo rechazar configurar|este sitio guarda pequeños archivos en su dispositivo.*|# socios desean tratar sus datos.*|usamos cookies .*|su privacidad nos importa.*|utilizamos cookies .*
-        aceitar tudo (?:rejeitar|recusar).*|este sítio guarda pequenos ficheiros.*|este site guarda pequenos .*|# parceiros (?:desejam|pretendem|gostariam).*|a sua privacidade .*
-        全部接受 全部拒绝 管理偏好|本站会在您的设备上保存小型文件.*|# 家合作伙伴希望处理您的浏览数据.*|本站使用 cookie.*|我们重视您的隐私.*|必要的存储始终开启.*""",
-    "footer": """
-        registered office details and complaints procedure|reproduction in whole or in part .*|terms of use - .*|back to top|copyright #, the publishers of .*|powered by .* page engine .*|rss \\| atom \\| print|# visitors online|page # of # .*next.*|all rights reserved.*|© # .*
-        nachdruck, auch auszugsweise.*|nutzungsbedingungen - .*|nach oben|# besucher online|seite # von # .*weiter.*|alle rechte vorbehalten.*
-        toute reproduction.*|conditions d'utilisation - .*|haut de page|# visiteurs en ligne|page # sur # .*suivant.*|tous droits réservés.*
-        prohibida la reproducción.*|condiciones de uso - .*|volver arriba|# visitantes en línea|página # de # .*siguiente.*|todos los derechos reservados.*
-        proibida a reprodução.*|(?:condições|termos) de (?:utilização|uso) - .*|voltar ao topo|# visitantes em linha|página # de # .*seguinte.*|todos os direitos reservados.*
-        未经许可不得转载.*|使用条款 - .*|返回顶部|当前在线 # 人|第 # 页，共 # 页.*|版权所有.*""",
-    "control": """
-        print this page report a problem|comments are closed.*|show # more comments|sort by: newest.*|reply report like.*|♥ # ↻ # ✉|\\[\\+\\] \\[f\\] \\[in\\] \\[rss\\]|pinboardly chirrup facepage copy link
-        seite drucken fehler melden|die kommentare sind geschlossen.*|# weitere kommentare anzeigen|antworten melden gefällt mir.*|sortieren.*neueste.*
-        imprimer signaler une erreur|les commentaires sont fermés.*|afficher # autres commentaires|répondre signaler j.aime.*|trier par.*
-        imprimir avisar de un error|los comentarios están cerrados.*|ver # comentarios más|responder denunciar me gusta.*|ordenar por.*
-        imprimir comunicar um erro|os comentários estão (?:fechados|encerrados).*|ver mais # comentários|responder denunciar gosto.*
-        打印本页 报告错误|评论已关闭.*|查看另外 # 条评论|回复 举报 点赞.*|排序.*""",
-    "date": """
-        (?:posted|published|last updated|updated) (?:on )?#\\.#\\.#.*|#\\.#\\.# \\| # (?:comments|kommentare|commentaires|comentarios|comentários).*|#\\.#\\.# \\| 评论 # .*
-        (?:zuletzt geändert|veröffentlicht am|aktualisiert am|stand:?) #\\.#\\.#.*|(?:mis à jour le|publié le) #\\.#\\.#.*|(?:actualizado el|publicado el) #\\.#\\.#.*|(?:atualizado em|publicado em) #\\.#\\.#.*|(?:更新时间|发布时间|发布于)：?#\\.#\\.#.*""",
-    "advert": """
-        advertisement - continue below|anzeige - weiter unten|publicité - suite plus bas|publicidad - sigue abajo|publicidade - continua (?:a)?baixo|publicidade - .*|广告 - 下方继续""",
-    "also": """
-        read also: .*|see also » .*|lesen sie auch: .*|siehe auch » .*|à lire aussi ?: .*|voir aussi » .*|lea también: .*|véase también » .*|ver también » .*|leia também: .*|ver também » .*|veja também » .*|另请阅读：.*|延伸阅读：.*|另见 ?» ?.*|参见 ?» ?.*|相关阅读：.*|推荐阅读：.*""",
-    "head": """
-        related stories|in this section|trending now|you may also like|tags|most read|share this page|subscribe to our newsletter|follow us|advertisement
-        schlagwörter|das könnte sie auch interessieren|meistgelesen|ähnliche beiträge|newsletter abonnieren|folgen sie uns|seite teilen|anzeige
-        articles liés|les plus lus|vous aimerez aussi|mots-clés|partager cette page|suivez-nous|publicité|abonnez-vous à la lettre
-        lo más leído|artículos relacionados|también le puede gustar|etiquetas|compartir esta página|síganos|suscríbase al boletín|publicidad
-        mais lidas|também pode gostar|siga-nos|publicidade|etiquetas|partilhar esta página|artigos relacionados|subscreva o boletim|assine o boletim
-        相关文章|猜你喜欢|热门阅读|标签|分享本页|关注我们|订阅简报|广告|本栏目|栏目导航""",
-    "nav": """
-        jobs|search|archive|about us|my account|help|opinion|contact|shop|home|weather|news|downloads|gallery|events diary|family notices|sign in|sport|newsletter
-        stellen|suche|archiv|über uns|mein konto|hilfe|meinung|kontakt|laden|startseite|wetter|aktuelles|downloads|galerie|termine|anmelden|sport|familienanzeigen
-        emploi|recherche|archives|qui sommes-nous|mon compte|aide|opinions|contact|boutique|accueil|météo|actualités|téléchargements|galerie|agenda|connexion|sport|carnet
-        empleo|buscar|archivo|quiénes somos|mi cuenta|ayuda|opinión|contacto|tienda|inicio|el tiempo|noticias|descargas|galería|agenda|acceder|deportes|esquelas
-        emprego|pesquisar|arquivo|quem somos|a minha conta|ajuda|opinião|contacto|loja|início|tempo|notícias|transferências|galeria|agenda|entrar|desporto|necrologia
-        招聘|搜索|档案|关于我们|我的账户|帮助|评论|联系方式|商店|首页|天气|新闻|下载|图库|活动|登录|体育|讣告""",
-}
-TEASER = r"(?:\.\.\.|…) ?(?:More|Continue reading|Read more|Full story|更多|展开|阅读全文|Plus|En savoir plus|Lire la suite|Mehr|Weiterlesen|Ganzer Artikel|Más|Leer más|Seguir leyendo|Continuar a ler|Mais|Ler mais)[ .…»]*$|更多…$"
-
-_HOST = re.compile(r"[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}\b")
+#: A line is repeated on a site if at least so many pages and this share of the site's pages have it ...
+SITE_PAGES, SITE_SHARE = 3, 0.04
+#: ... or so many pages and this share of all pages, on several sites.
+ALL_PAGES, ALL_SHARE, ALL_SITES = 6, 0.004, 3
+#: Entries of a box that are labelled; whether it goes on is left open.
+SURE_ENTRIES = 3
+#: So many lines in a row that are neither repeated nor entries are a list or table of the body.
+LIST_LINES = 5
+#: Heads of boxes: so many times on training pages, and this share of times before a new short line.
+HEAD_TIMES, HEAD_SHARE = 3, 0.7
+#: Lines of more characters are paragraphs: their words are no features but for the first ones.
+SHORT = 160
+
+_HOST = re.compile(r"(?:https?://)?[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}\b(?:/\S*)?")
 _NUMBER = re.compile(r"\d+")
-_SPACE = re.compile(r"\s+")
-
-
-def normal(line: str) -> str:
-    return _NUMBER.sub("#", _SPACE.sub(" ", line.strip().lower()))
-
-
-_EXACT = {n: frozenset(p.strip() for row in PHRASES[n].strip().split("\n") for p in row.split("|")) for n in ("head", "nav")}
-
-
-def _starts(phrase: str) -> set[str]:
-    """First two characters of what a phrase can match; of a number only its sign."""
-    if phrase.startswith("(?:"):
-        inner, rest = phrase[3:].split(")", 1)
-        return {(alt + rest)[:2] for alt in inner.split("|")}
-    phrase = phrase.replace("\\", "")
-    return {"#" if phrase[0] == "#" else phrase[:2]}
-
-
-def _index() -> dict[str, list[tuple[str, re.Pattern]]]:
-    """Patterns by the first two characters of a line."""
-    out: dict[str, list[tuple[str, re.Pattern]]] = {}
-    for name in ("consent", "footer", "control", "date", "advert", "also"):
-        for row in PHRASES[name].strip().split("\n"):
-            # bars inside groups or behind a backslash belong to their phrase
-            for phrase in re.findall(r"(?:\(\?:[^)]*\)|\\\||[^|(]|\()+", row.strip()):
-                p = re.compile(rf"(?:{phrase})\Z")
-                for start in _starts(phrase):
-                    out.setdefault(start, []).append((name, p))
-    return out
-
-
-_PATTERNS = _index()
-_TEASER = re.compile(TEASER, re.I)
-_SPLIT = re.compile(r" ?[|·>] ?")
-_MARKS = re.compile(r"[|·>…]|\.\.\.")
-_BULLET = re.compile(r"(?:[*•–\-→●▪◦‣]|>>|\[[ x]\]|o\)|\(?[a-z#]\)|#+[.)]) ?")
+_TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|#|@|[^\w\s]")
+_HAN = re.compile(r"[㐀-鿿]")
 _ENDS = re.compile(r"[.!?。！？…][\"”»“’')\]）]*$")
-_CELLS = re.compile(r"\t| {2,}|[|│;]|,\S.*,\S")
-_ARTICLE = re.compile(r"(?:the|a|an|one|every|our|this|that|another|der|die|das|ein|eine|le|la|les|l'|un|une|el|los|las|una|o|os|as|um|uma)\b|l['’]")
-_HAN = re.compile(r"[一-鿿]")
-_YEAR = re.compile(r" \(#\)$")
-
-#: Kinds of a block by its own text.
-KINDS = ("consent", "footer", "control", "date", "advert", "also", "head", "nav", "navline", "navbullet", "host", "site", "blurb", "teaser", "numbered", "item", "row", "sentence", "word", "headline", "long")
-_KIND = {k: i for i, k in enumerate(KINDS)}
-_SURE = frozenset(_KIND[k] for k in ("consent", "footer", "control", "date", "advert", "also", "navline", "host", "site", "blurb"))
-_PROSE = frozenset(_KIND[k] for k in ("sentence", "long"))
-_AROUND = frozenset(_KIND[k] for k in ("consent", "footer", "control", "date", "host", "site"))
-_EDGE = len(KINDS)
-_ENTRY = frozenset(_KIND[k] for k in ("numbered", "word", "headline", "nav"))
-
-
-def kind(line: str) -> int:
-    """Kind of a non-blank line."""
-    bare = line.strip()
-    if len(bare) >= 260:
-        return _KIND["long"]
-    if len(bare) >= 110 and ("#" if bare[0].isdigit() else bare[:2].lower()) not in _PATTERNS and not _MARKS.search(bare):
-        return _KIND["long"]
-    return _short_kind(line)
-
-
-@lru_cache(maxsize=100_000)
-def _short_kind(line: str) -> int:
-    bare = line.strip()
-    n = normal(bare)
-    if len(n) < 260:
-        for name, p in _PATTERNS.get("#" if n[:1] == "#" else n[:2], ()):
-            if p.match(n):
-                return _KIND[name]
-        if len(n) < 45:
-            if n in _EXACT["head"]:
-                return _KIND["head"]
-            if n in _EXACT["nav"]:
-                return _KIND["nav"]
-            if n.startswith("* ") and n[2:] in _EXACT["nav"]:
-                return _KIND["navbullet"]
-            if "." in n and _HOST.fullmatch(n):
-                return _KIND["host"]
-        if len(n) < 200 and ("|" in n or "·" in n or ">" in n):
-            parts = _SPLIT.split(n)
-            if len(parts) >= 3 and sum(p in _EXACT["nav"] for p in parts) * 2 >= len(parts):
-                return _KIND["navline"]
-        if ("..." in n or "…" in n) and _TEASER.search(line.strip()):
-            return _KIND["teaser"]
-    bare = n.strip()
-    if len(bare) < 110:
-        if re.match(r"#\. \S", bare) and not _ENDS.search(bare):
-            return _KIND["numbered"]
-        if _CELLS.search(line.strip()):
-            return _KIND["row"]
-        if _BULLET.match(bare) or line[:1] in "\t" or line.startswith("  "):
-            return _KIND["item"]
-        if not _ENDS.search(bare):
-            han = len(_HAN.findall(bare))
-            words = bare.count(" ") + 1
-            if (han and len(bare) <= 6) or (not han and words <= 2 and len(bare) <= 26 and not _ARTICLE.match(bare) and ":" not in bare):
-                return _KIND["word"]
-            return _KIND["headline"]
-    return _KIND["long"] if len(bare) >= 110 else _KIND["sentence"]
+_BULLET = re.compile(r"(?:[*•–\-→●▪◦‣·■□▸✓+]|>>|\[[ x]\]|\(?[a-z]\)|\(?\d{1,3}[.)])\s+")
+_PARTS = re.compile(r" ?[|·>»•/] ?|\s{2,}|\t")
+#: A text that is cut off, and what invites to read on.
+_CUT = re.compile(r"(?:\.\.\.|…)\s*(?P<more>[^\W\d_][^.…]{0,30}?)[ .…»]*$")
+#: What stands before a colon, an arrow or a date.
+_LEAD = re.compile(r"^(.{2,40}?)(?:[:：»]|(?=#([./-])#\2#))")
 
 
 def site_names(site: str | None) -> tuple[str, ...]:
     """Host name and display name of a site, in lower case."""
-    if not site:
+    if not site or not site.strip():
         return ()
     low = site.strip().lower()
     return low, low.split(".")[0].replace("-", " ")
 
 
-def blocks(text: str, site: str | None) -> tuple[list[int], list[int], list[bool]]:
-    """Line numbers and kinds of the non-blank lines, and whether a blank line stands before each."""
+def normal(line: str, names: tuple[str, ...] = ()) -> str:
+    """A line in lower case with '#' for numbers and '@' for the name of its own site and, in lines of up to ``SHORT`` characters, for other hosts."""
+    n = " ".join(line.lower().split())
+    for name in names:
+        if len(name) > 2 and name in n:
+            n = n.replace(name, "@")
+    if "." in n and len(n) <= SHORT:
+        n = _HOST.sub("@", n)
+    return _NUMBER.sub("#", n)
+
+
+class Line(NamedTuple):
+    """What one line says by itself."""
+
+    form: str
+    kind: int
+    keys: tuple[int | str, ...]
+
+
+# Coarse kinds of a block, by shape alone.
+KINDS = ("long", "sentence", "bullet", "numbered", "menu", "cut", "word", "phrase", "clause", "cells", "figures", "own")
+_K = {k: i for i, k in enumerate(KINDS)}
+_EDGE = len(KINDS)
+_NK = _EDGE + 1
+_SHORT = frozenset(_K[k] for k in ("bullet", "numbered", "cut", "word", "phrase"))
+
+
+def _shape(bare: str, n: str, size: int, letters: int, ends: bool, parts: list[str]) -> int:
+    if n == "@":
+        return _K["own"]
+    if letters * 3 < len(n) - n.count(" "):
+        return _K["figures"]
+    if ("..." in n or "…" in n) and _CUT.search(n):
+        return _K["cut"]
+    if ends and (size > 4 or len(n) > 30):
+        return _K["sentence"]
+    if _BULLET.match(bare):
+        return _K["numbered"] if bare[0].isdigit() else _K["bullet"]
+    if len(parts) >= 2 and max(map(len, parts)) <= 40:
+        return _K["menu"]
+    if "|" in bare or ";" in bare:
+        return _K["cells"]
+    if size <= 3 and len(n) <= 30:
+        return _K["word"]
+    return _K["phrase"] if size <= 14 else _K["clause"]
+
+
+_BASE = {}
+_at = 0
+for _name, _size in (("bias", 1), ("kind", _NK), ("gap", 4 * _NK), ("prev", _NK * _NK), ("next", _NK * _NK), ("around", _NK * _NK), ("top", 8 * _NK), ("low", 8 * _NK), ("len", 12), ("parts", 8), ("flags", 64), ("since", 10 * 2 * _NK), ("run", 8 * _NK), ("prose", 9 * _NK)):
+    _BASE[_name] = _at
+    _at += _size
+_PLACE = (0, 1, 2, 3, 4, 4, 5, 5, 5, 6, 6, 6, 6)
+
+
+def _line(raw: str, names: tuple[str, ...]) -> Line:
+    bare = raw.strip()
+    n = normal(bare, names)
+    b = _BASE
+    if len(n) > SHORT:
+        words = _TOKEN.findall(n, 0, 80)
+        kind = _K["long"]
+        return Line(n, kind, (b["bias"], b["kind"] + kind, b["len"] + min(11, len(n) // 12), b["flags"] + 2 + (n[0] == "@"), b["flags"] + 16 + bool(_ENDS.search(n[-8:])), "<" + " ".join(words[:2]), "<" + " ".join(words[:4])))
+    tokens = _TOKEN.findall(n)
+    plain = [w for w in tokens if w[0].isalnum()]
+    letters = sum(map(len, plain))
+    wide = bool(_HAN.search(n))
+    if wide:
+        han = len(_HAN.findall(n))
+        if han * 2 > letters:
+            plain = [c for c in n if c.isalnum()]
+    parts = _PARTS.split(n)
+    ends = bool(_ENDS.search(bare))
+    size = len(tokens) + (han // 2 if wide else 0)
+    kind = _shape(bare, n, size, letters, ends, _PARTS.split(bare) if "  " in bare or "\t" in bare else parts)
+    marks = "♥" in n or "↻" in n or "✉" in n or "[+]" in n
+    flags = (raw[0] in " \t", n[0] == "@", "@" in n, "#" in n, "#.#.#" in n or "#-#-#" in n or "#/#/#" in n, bare.isupper(), bare[0].islower(), wide, ends, ":" in n or "：" in n, "©" in n, bare[-1] in ")]", bare[0].isdigit(), marks, "  " in bare)
+    out = [b["bias"], b["kind"] + kind, b["len"] + min(11, len(n) // 12), b["parts"] + min(7, len(parts)), "=" + n]
+    out += [b["flags"] + 2 * i + f for i, f in enumerate(flags)]
+    if plain:
+        out += ["<" + " ".join(plain[:2]), ">" + " ".join(plain[-2:]), "<" + " ".join(plain[:4]), ">" + " ".join(plain[-4:])]
+        if len(plain) <= 14:
+            out += ["w" + w for w in dict.fromkeys(plain)]
+    if (lead := _LEAD.match(n)) is not None:
+        out.append(":" + lead[1])
+    if kind == _K["cut"]:
+        out.append("…" + _CUT.search(n)["more"])
+    if len(parts) > 1:
+        out += ["|" + p for p in dict.fromkeys(parts) if p]
+    return Line(n, kind, tuple(out))
+
+
+@lru_cache(maxsize=200_000)
+def _short_line(raw: str, names: tuple[str, ...]) -> Line:
+    return _line(raw, names)
+
+
+def read_line(raw: str, names: tuple[str, ...]) -> Line:
+    return _short_line(raw, names) if len(raw) <= SHORT else _line(raw, names)
+
+
+class Page(NamedTuple):
+    """Line numbers of the non-blank lines, what they say, and whether a blank line stands before each."""
+
+    at: list[int]
+    lines: list[Line]
+    gap: list[bool]
+
+
+def blocks(text: str, site: str | None) -> Page:
     names = site_names(site)
     at: list[int] = []
-    kinds: list[int] = []
+    lines: list[Line] = []
     gap: list[bool] = []
     blank = True
-    for i, line in enumerate(text.split("\n")):
-        if not line.strip():
+    for i, raw in enumerate(text.split("\n")):
+        if not raw.strip():
             blank = True
             continue
-        k = kind(line)
-        if names and k >= _KIND["host"]:
-            low = line.strip().lower()
-            if low in names:
-                k = _KIND["site"]
-            elif names[1] and low.startswith(names[1]) and low[len(names[1]) :].lstrip(" ")[:1] in ("-", "：", ":", "–"):
-                k = _KIND["blurb"]
         at.append(i)
-        kinds.append(k)
+        lines.append(read_line(raw, names))
         gap.append(blank)
         blank = False
-    return at, kinds, gap
+    return Page(at, lines, gap)
 
 
 # ---------------------------------------------------------------------------------------------------------------------
 # Labels of the training pages
 
-
-def label_page(kinds: list[int], gap: list[bool], most_entries: int = 4) -> list[int]:
-    """States of a page's blocks from phrases and structure alone."""
-    n = len(kinds)
-    out = [FURNITURE if k in _SURE else BODY for k in kinds]
-    nav, bullet, word, head, teaser = (_KIND[k] for k in ("nav", "navbullet", "word", "head", "teaser"))
+LABELS = {BODY: (True, False, False), FURNITURE: (False, True, False), BOX: (False, False, True)}
+OPEN = (True, True, True)
+
+
+def leads(form: str) -> list[str]:
+    """Parts of a form that may be repeated though the whole is not: what stands before a colon, arrow or date, and what invites to read on."""
+    if len(form) > SHORT:
+        return []
+    if ("..." in form or "…" in form) and (m := _CUT.search(form)) is not None:
+        return ["\x03" + m["more"]]
+    if (m := _LEAD.match(form)) is not None and not _ENDS.search(form):
+        return ["\x02" + form[: m.end()]]
+    return []
+
+
+def wordless(form: str) -> bool:
+    """Whether a form has nothing but figures and rules: rows of tables repeat these."""
+    return not any(c.isalpha() or c in "@©♥" or ord(c) > 0x2190 for c in form)
+
+
+def _short(line: Line) -> bool:
+    return line.kind in _SHORT
+
+
+def box_heads(pages: list[Page], repeated: list[list[bool]]) -> frozenset[str]:
+    """Repeated short lines that are mostly followed, without a blank line, by short lines that are not repeated."""
+    seen: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    for page, rep in zip(pages, repeated, strict=True):
+        for i, line in enumerate(page.lines):
+            if rep[i] and line.kind in (_K["word"], _K["phrase"]):
+                count = seen[line.form]
+                count[0] += 1
+                count[1] += i + 1 < len(rep) and not rep[i + 1] and not page.gap[i + 1] and _short(page.lines[i + 1])
+    return frozenset(f for f, (n, k) in seen.items() if n >= HEAD_TIMES and k >= HEAD_SHARE * n)
+
+
+def label_page(page: Page, repeated: list[bool], tail: list[bool], heads: frozenset[str]) -> list[tuple[bool, ...]]:
+    """Allowed states of each block.  ``repeated``: the whole line is; ``tail``: a part of it is."""
+    n = len(page.lines)
+    out = [OPEN] * n
+    for i, line in enumerate(page.lines):
+        if repeated[i]:
+            out[i] = LABELS[BOX if line.form in heads else FURNITURE]
+        elif tail[i]:
+            out[i] = LABELS[BOX] if line.kind == _K["cut"] else LABELS[FURNITURE]
+        elif line.kind in (_K["long"], _K["sentence"], _K["clause"]):
+            out[i] = LABELS[BODY]
     i = 0
     while i < n:
-        k = kinds[i]
-        if k == head:
-            out[i] = BOX
-            numbered = None
-            entries, j = 0, i + 1
-            while j < n and not gap[j]:
-                if kinds[j] == teaser and entries:
-                    out[j] = BOX
-                elif kinds[j] in _ENTRY and entries < most_entries and (numbered is None or (kinds[j] == _KIND["numbered"]) == numbered):
-                    numbered = kinds[j] == _KIND["numbered"]
-                    entries += 1
-                    out[j] = BOX
-                else:
-                    break
+        if repeated[i] and page.lines[i].form in heads:
+            j = i + 1
+            entries, style = 0, None
+            while j < n and not page.gap[j] and not repeated[j] and _short(page.lines[j]):
+                cut, listed = page.lines[j].kind == _K["cut"], page.lines[j].kind in (_K["numbered"], _K["bullet"])
+                if not cut:
+                    if style not in (None, listed):
+                        break
+                    entries, style = entries + 1, listed
+                out[j] = LABELS[BOX] if entries <= SURE_ENTRIES and len(page.lines[j].form) <= 90 else OPEN
                 j += 1
             i = j
-            continue
-        if k in (nav, word, bullet, _KIND["item"]):
-            j = i
-            run = {nav, word} if k in (nav, word) else {bullet, _KIND["item"]}
-            while j < n and kinds[j] in run and (j == i or not gap[j]):
-                j += 1
-            known = sum(kinds[m] in (nav, bullet) for m in range(i, j))
-            if known >= 2 and known * 3 >= j - i or known == 1 and j - i <= 2 and k in (nav, bullet):
-                out[i:j] = [FURNITURE] * (j - i)
-            i = max(j, i + 1)
-            continue
-        i += 1
+        else:
+            i += 1
+    i = 0
+    while i < n:
+        j = i
+        while j < n and out[j] is OPEN and not repeated[j]:
+            j += 1
+        if j - i >= LIST_LINES and not (i and out[i - 1] == LABELS[BOX]):
+            out[i:j] = [LABELS[BODY]] * (j - i)
+        i = max(j, i + 1)
+    # short lines among bodies, or behind a blank line and before a body, are headings
     for i in range(n):
-        if kinds[i] == teaser and out[i] == BODY:
-            out[i] = BOX
-    # a lone sentence among footers and notices, on a page that has a body elsewhere, describes the site
-    if sum(s == BODY for s in out) > 1:
-        for i in range(n):
-            if out[i] == BODY and kinds[i] in _PROSE:
-                sides = [kinds[j] if 0 <= j < n else _EDGE for j in (i - 1, i + 1)]
-                if all(x in _AROUND or x == _EDGE for x in sides) and any(x != _EDGE for x in sides):
-                    out[i] = FURNITURE
+        if out[i] is OPEN:
+            near = [out[j] for j in (i - 1, i + 1) if 0 <= j < n]
+            if all(x == LABELS[BODY] or x is OPEN for x in near) and (LABELS[BODY] in near or not near):
+                out[i] = LABELS[BODY]
+    if n == 1:
+        out = [LABELS[BODY]]
     return out
 
 
 # ---------------------------------------------------------------------------------------------------------------------
 # Features
 
-_NK = len(KINDS) + 1  # the last stands for the page's edge
-_NOT_BODY = _SURE | {_KIND[k] for k in ("nav", "navbullet", "head", "teaser")}
-_PLACE = (0, 1, 2, 3, 3, 4, 4, 4, 5, 5, 5, 5)
-#: feature blocks: kind, kind x blank before, previous kind, next kind, kind pair (previous, own), kind pair (own, next), kind x place from top, kind x place from bottom,
-#: kind x distance to box heading x same list style, kind x run of menu words, kind x known menu words in its run, pair before.
-_SIZES = [_NK, 2 * _NK, _NK, _NK, _NK * _NK, _NK * _NK, 7 * _NK, 7 * _NK, 9 * 2 * _NK, 4 * _NK, 4 * _NK, _NK * _NK, 3 * _NK, 3 * _NK]
-_BASE = [0, *np.cumsum(_SIZES).tolist()]
-FEATURES = _BASE[-1]
-PER_BLOCK = len(_SIZES)
-
 
-def features(kinds: list[int], gap: list[bool]) -> list[tuple[int, ...]]:
-    """Indices of the active features of each block."""
-    n = len(kinds)
+def context(kinds: list[int], gap: list[bool], heads: list[bool]) -> list[tuple[int, ...]]:
+    """Keys of the active features of each block that come from its place and neighbours."""
+    n, b = len(kinds), _BASE
+    gaps, prev, next_, around, top, low, since_, run_, prose = (b[k] for k in ("gap", "prev", "next", "around", "top", "low", "since", "run", "prose"))
     out = []
-    since, style, entries = 8, -1, 0
-    nav, bullet, word, item, head, teaser, numbered = (_KIND[k] for k in ("nav", "navbullet", "word", "item", "head", "teaser", "numbered"))
-    # runs of menu-like lines
-    run, known = [0] * n, [0] * n
-    i = 0
-    while i < n:
-        if kinds[i] in (nav, word, bullet, item):
-            group = (nav, word) if kinds[i] in (nav, word) else (bullet, item)
-            j = i + 1
-            while j < n and kinds[j] in group and not gap[j]:
-                j += 1
-            m = sum(kinds[x] in (nav, bullet) for x in range(i, j))
-            share = 0 if m == 0 else 1 if m == 1 and j - i > 2 else 2 if m * 3 < j - i else 3
-            size = 0 if j - i == 1 else 1 if j - i == 2 else 2 if j - i < 5 else 3
-            for x in range(i, j):
-                run[x], known[x] = size, share
-            i = j
-        else:
-            i += 1
-    # last body-like block before and first after: prose, or furniture
-    before, after = [0] * n, [0] * n
-    seen = 0
-    for i in range(n):
-        before[i] = seen
-        if kinds[i] in _NOT_BODY:
-            seen = 1
-        elif kinds[i] >= _KIND["sentence"] and kinds[i] in (_KIND["sentence"], _KIND["long"]):
-            seen = 2
-    seen = 0
+    since, entries = 9, 0
+    # how far the next block is that looks like prose
+    ahead = [9] * (n + 1)
     for i in range(n - 1, -1, -1):
-        after[i] = seen
-        if kinds[i] in _NOT_BODY:
-            seen = 1
-        elif kinds[i] in (_KIND["sentence"], _KIND["long"]):
-            seen = 2
-    b = _BASE
-    for i in range(n):
-        k, g = kinds[i], int(gap[i])
-        p = kinds[i - 1] if i else _EDGE
-        q = kinds[i + 1] if i + 1 < n else _EDGE
-        pp = kinds[i - 2] if i > 1 else _EDGE
-        if k == head:
-            since, style, entries = 0, -1, 0
-            d, same = 0, 1
-        elif since < 8:
-            if g or k not in _ENTRY and k != teaser:
-                since = 8
-            elif k != teaser:
-                entries += 1
-                since = min(7, entries)
-            same = 1 if style < 0 or k == teaser or style == (k == numbered) else 0
-            if k != teaser and style < 0:
-                style = k == numbered
-            d = since
-        else:
-            d, same = 8, 0
-        top, low = _PLACE[min(i, 11)], _PLACE[min(n - 1 - i, 11)]
-        if i > 11:
-            top = 6
-        if n - 1 - i > 11:
-            low = 6
+        ahead[i] = 0 if kinds[i] <= 1 else min(9, ahead[i + 1] + 1)
+    back, run, p, cut = 2, 0, _EDGE, _K["cut"]
+    for i, k in enumerate(kinds):
+        g = gap[i]
+        last = i + 1 == n
+        q = _EDGE if last else kinds[i + 1]
+        if heads[i]:
+            since, entries = 0, 0
+        elif since < 9:
+            if g or k not in _SHORT:
+                since = 9
+            else:
+                entries += k != cut
+                since = min(8, 1 + entries)
+        run = run + 1 if k == p and not g else 0
         out.append(
-            (k, b[1] + 2 * k + g, b[2] + p, b[3] + q, b[4] + p * _NK + k, b[5] + k * _NK + q, b[6] + 7 * k + top, b[7] + 7 * k + low, b[8] + (d * 2 + same) * _NK + k, b[9] + 4 * k + run[i], b[10] + 4 * k + known[i], b[11] + pp * _NK + k, b[12] + 3 * k + before[i], b[13] + 3 * k + after[i])
+            (
+                gaps + 4 * k + 2 * g + (last or gap[i + 1]),
+                prev + p * _NK + k,
+                next_ + q * _NK + k,
+                around + p * _NK + q,
+                top + 8 * k + (_PLACE[i] if i < 13 else 7),
+                low + 8 * k + (_PLACE[n - 1 - i] if n - i < 14 else 7),
+                since_ + (2 * since + heads[i]) * _NK + k,
+                run_ + 8 * k + min(7, run),
+                prose + 9 * k + 3 * back + min(2, ahead[i + 1] // 3),
+            )
         )
+        back = 1 if k <= 1 else 0 if not i else back
+        p = k
+    return out
+
+
+def features(page: Page, heads: frozenset[str]) -> list[list[int | str]]:
+    """Keys of all active features of each block."""
+    lines = page.lines
+    near = context([x.kind for x in lines], page.gap, [x.form in heads for x in lines])
+    out = []
+    for i, (line, keys) in enumerate(zip(lines, near, strict=True)):
+        f = [*line.keys, *keys]
+        if i and lines[i - 1].kind > 1:
+            f.append("p" + lines[i - 1].form)
+        if i + 1 < len(lines) and lines[i + 1].kind > 1:
+            f.append("n" + lines[i + 1].form)
+        out.append(f)
     return out
 
 
@@ -355,41 +346,75 @@ def features(kinds: list[int], gap: list[bool]) -> list[tuple[int, ...]]:
 
 
 class Model:
-    """Weights of features by state, and of transitions; with Viterbi decoding."""
+    """Weights of features by state and of transitions, and the heads of boxes; with Viterbi decoding."""
 
-    def __init__(self, unary: np.ndarray, pair: np.ndarray):
-        self.unary, self.pair = unary, pair
-        self._rows = [tuple(r) for r in unary.tolist()]
+    def __init__(self, weights: dict[int | str, tuple[float, float, float]], pair: np.ndarray, heads: frozenset[str] = frozenset()):
+        self.weights, self.pair, self.heads = weights, pair, heads
         self._pair = pair.tolist()
+        self._known = lru_cache(maxsize=200_000)(self._weigh)
+
+    def __reduce__(self):
+        return Model, (self.weights, self.pair, self.heads)
 
-    def decode(self, feats: list[tuple[int, ...]]) -> list[int]:
+    def _sum(self, keys) -> tuple[float, float, float]:
+        get = self.weights.get
+        a = b = c = 0.0
+        for k in keys:
+            if (w := get(k)) is not None:
+                a += w[0]
+                b += w[1]
+                c += w[2]
+        return a, b, c
+
+    def _weigh(self, raw: str, names: tuple[str, ...]) -> tuple:
+        """Of one line: kind, whether it heads a box, its own score, and what it adds to the next and to the last line."""
+        line = _line(raw, names)
+        get = self.weights.get
+        after, before = (get("p" + line.form), get("n" + line.form)) if line.kind > 1 else (None, None)
+        return line.kind, line.form in self.heads, self._sum(line.keys), after, before
+
+    def read(self, text: str, site: str | None) -> tuple[list[int], list[bool], list[tuple]]:
+        """Numbers of the non-blank lines, whether a blank line stands before each, and what each says."""
+        names = site_names(site)
+        at, gap, seen, blank = [], [], [], True
+        known, weigh = self._known, self._weigh
+        for i, raw in enumerate(text.split("\n")):
+            if not raw or raw.isspace():
+                blank = True
+                continue
+            at.append(i)
+            gap.append(blank)
+            seen.append(known(raw, names) if len(raw) <= SHORT else weigh(raw, names))
+            blank = False
+        return at, gap, seen
+
+    def scores(self, gap: list[bool], seen: list[tuple]) -> list[list[float]]:
+        """Sums of the weights of each block, by state."""
+        out = []
+        for x, keys in zip(seen, context([x[0] for x in seen], gap, [x[1] for x in seen]), strict=True):
+            out.append([u + v for u, v in zip(x[2], self._sum(keys), strict=True)])
+        for i, x in enumerate(seen):
+            for j, more in ((i + 1, x[3]), (i - 1, x[4])):
+                if more is not None and 0 <= j < len(out):
+                    out[j] = [u + v for u, v in zip(out[j], more, strict=True)]
+        return out
+
+    def path(self, scores: list[list[float]]) -> list[int]:
         """Most probable states of a page."""
-        if not feats:
+        if not scores:
             return []
-        rows, pair = self._rows, self._pair
-        t00, t01, t02 = pair[0]
-        t10, t11, t12 = pair[1]
-        t20, t21, t22 = pair[2]
+        (t00, t01, t02), (t10, t11, t12), (t20, t21, t22) = self._pair
         back = []
-        a = b = c = 0.0
-        for i, f in enumerate(feats):
-            u = v = w = 0.0
-            for x in f:
-                r = rows[x]
-                u += r[0]
-                v += r[1]
-                w += r[2]
-            if i:
-                x0, x1, x2 = a + t00, b + t10, c + t20
-                y0, y1, y2 = a + t01, b + t11, c + t21
-                z0, z1, z2 = a + t02, b + t12, c + t22
-                k0 = 0 if x0 >= x1 and x0 >= x2 else 1 if x1 >= x2 else 2
-                k1 = 0 if y0 >= y1 and y0 >= y2 else 1 if y1 >= y2 else 2
-                k2 = 0 if z0 >= z1 and z0 >= z2 else 1 if z1 >= z2 else 2
-                back.append((k0, k1, k2))
-                a, b, c = (x0, x1, x2)[k0] + u, (y0, y1, y2)[k1] + v, (z0, z1, z2)[k2] + w
-            else:
-                a, b, c = u, v, w
+        a, b, c = scores[0]
+        for u, v, w in scores[1:]:
+            x0, x1, x2 = a + t00, b + t10, c + t20
+            y0, y1, y2 = a + t01, b + t11, c + t21
+            z0, z1, z2 = a + t02, b + t12, c + t22
+            k0 = 0 if x0 >= x1 and x0 >= x2 else 1 if x1 >= x2 else 2
+            k1 = 0 if y0 >= y1 and y0 >= y2 else 1 if y1 >= y2 else 2
+            k2 = 0 if z0 >= z1 and z0 >= z2 else 1 if z1 >= z2 else 2
+            back.append((k0, k1, k2))
+            a, b, c = (x0, x1, x2)[k0] + u, (y0, y1, y2)[k1] + v, (z0, z1, z2)[k2] + w
         s = 0 if a >= b and a >= c else 1 if b >= c else 2
         out = [s]
         for k in reversed(back):
@@ -400,77 +425,150 @@ class Model:
 
     def page(self, text: str, site: str | None) -> tuple[list[int], list[int]]:
         """Line numbers of the non-blank lines and their states."""
-        at, kinds, gap = blocks(text, site)
-        return at, self.decode(features(kinds, gap))
+        at, gap, seen = self.read(text, site)
+        return at, self.path(self.scores(gap, seen))
 
 
-def fit(pages: list[tuple[list[tuple[int, ...]], list[int]]], rounds: int = 40, rate: float = 0.2, decay: float = 1e-4) -> Model:
-    """Maximum likelihood by full-batch Adam; forward and backward run over all pages at once, padded to the same length."""
-    pages = sorted((p for p in pages if p[0]), key=lambda p: len(p[0]))
-    if not pages:
-        return Model(np.zeros((FEATURES, STATES)), np.zeros((STATES, STATES)))
-    longest, count = len(pages[-1][0]), len(pages)
-    x = np.zeros((count, longest, PER_BLOCK), np.int32)
-    y = np.zeros((count, longest), np.int8)
-    live = np.zeros((count, longest), bool)
-    for i, (f, s) in enumerate(pages):
-        x[i, : len(f)], y[i, : len(f)], live[i, : len(f)] = f, s, True
-    hot = np.eye(STATES)[y] * live[..., None]
-    both = live[:, 1:]
-    gold_pair = np.einsum("nls,nlt->st", hot[:, :-1], hot[:, 1:])
-    flat, weights = x[live], np.zeros((FEATURES, STATES))
-    index = flat.reshape(-1)
-    pair = np.zeros((STATES, STATES))
-    mom = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(pair), np.zeros_like(pair)]
-    lengths = live.sum(1)
-
-    def lse(a: np.ndarray, axis: int) -> np.ndarray:
-        m = a.max(axis, keepdims=True)
-        return np.log(np.exp(a - m).sum(axis)) + m.squeeze(axis)
+def fit(pages: list[tuple[list[list[int | str]], list[tuple[bool, ...]]]], heads: frozenset[str] = frozenset(), rounds: int = 60, rate: float = 0.1, decay: float = 2e-3) -> Model:
+    """Maximum likelihood of partial labels by full-batch Adam: expectations under all paths less those under the allowed ones.
 
-    for step in range(1, rounds + 1):
-        score = np.zeros((count, longest, STATES))
-        score[live] = weights[flat].sum(1)
-        fwd, bwd = np.zeros_like(score), np.zeros_like(score)
-        fwd[:, 0] = score[:, 0]
+    Pages run side by side, the longest first, so that step t only touches pages that have a block t.
+    """
+    pages = sorted((p for p in pages if p[0]), key=lambda p: -len(p[0]))
+    pair = np.zeros((STATES, STATES))
+    if not pages:
+        return Model({}, pair, heads)
+    times = Counter(x for f, _ in pages for keys in f for x in keys)
+    number = {x: i for i, x in enumerate(x for x, n in times.items() if n > 1 or isinstance(x, int))}
+    lengths = np.array([len(f) for f, _ in pages])
+    count, longest = len(pages), int(lengths[0])
+    # block (page i, place t) has number offset[t] + i: pages are sorted, so the pages that reach t are the first ones
+    alive = np.array([(lengths > t).sum() for t in range(longest)])
+    offset = np.concatenate([[0], np.cumsum(alive)])
+    order: list[list[int]] = [[]] * int(offset[-1])
+    allowed = np.zeros((len(order), STATES), bool)
+    for i, (f, lab) in enumerate(pages):
+        for t, (x, y) in enumerate(zip(f, lab, strict=True)):
+            order[offset[t] + i] = [number[k] for k in x if k in number]
+            allowed[offset[t] + i] = y
+    sizes = np.array([len(x) for x in order])
+    index = np.fromiter((x for f in order for x in f), np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    owner = np.repeat(np.arange(len(order)), sizes)
+    w = np.zeros((len(number), STATES))
+    barred = np.where(allowed, 0.0, -1e4)
+    mom = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(pair), np.zeros_like(pair)]
+
+    def expectations(score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Marginals of the blocks and sums of those of the transitions."""
+        peak = score.max(1, keepdims=True)
+        e, trans = np.exp(score - peak), np.exp(pair)
+        fwd, bwd = np.zeros_like(e), np.ones_like(e)
+        fwd[: alive[0]] = e[: alive[0]] / e[: alive[0]].sum(1, keepdims=True)
         for t in range(1, longest):
-            new = lse(fwd[:, t - 1, :, None] + pair[None], 1) + score[:, t]
-            fwd[:, t] = np.where(live[:, t, None], new, fwd[:, t - 1])
-        total = lse(fwd[:, -1], 1)
+            a = alive[t]
+            now = (fwd[offset[t - 1] : offset[t - 1] + a] @ trans) * e[offset[t] : offset[t] + a]
+            fwd[offset[t] : offset[t] + a] = now / np.maximum(now.sum(1, keepdims=True), 1e-300)
+        edges = np.zeros_like(pair)
         for t in range(longest - 2, -1, -1):
-            new = lse(pair[None] + (score[:, t + 1] + bwd[:, t + 1])[:, None, :], 2)
-            bwd[:, t] = np.where(live[:, t + 1, None], new, 0)
-        marginal = np.exp(np.clip(fwd + bwd - total[:, None, None], -60, 0)) * live[..., None]
-        edge = np.exp(np.clip(fwd[:, :-1, :, None] + pair + (score[:, 1:] + bwd[:, 1:])[:, :, None, :] - total[:, None, None, None], -60, 0)) * both[..., None, None]
-        diff = (marginal - hot)[live]
-        grad = np.stack([np.bincount(index, np.repeat(diff[:, k], PER_BLOCK), FEATURES) for k in range(STATES)], 1)
-        grads = [grad / count + decay * weights, (edge.sum((0, 1)) - gold_pair) / count + decay * pair]
-        for k, (param, g) in enumerate(((weights, grads[0]), (pair, grads[1]))):
+            a = alive[t + 1]
+            right = e[offset[t + 1] : offset[t + 1] + a] * bwd[offset[t + 1] : offset[t + 1] + a]
+            here = right @ trans.T
+            left = fwd[offset[t] : offset[t] + a]
+            joint = left[:, :, None] * trans[None] * right[:, None, :]
+            edges += (joint / np.maximum(joint.sum((1, 2), keepdims=True), 1e-300)).sum(0)
+            bwd[offset[t] : offset[t] + a] = here / np.maximum(here.sum(1, keepdims=True), 1e-300)
+        m = fwd * bwd
+        return m / np.maximum(m.sum(1, keepdims=True), 1e-300), edges
+
+    for step in range(1, rounds + 1):
+        score = np.add.reduceat(w[index], starts)
+        free, free_edges = expectations(score)
+        held, held_edges = expectations(score + barred)
+        diff = free - held
+        grad = np.stack([np.bincount(index, diff[owner, k], len(number)) for k in range(STATES)], 1)
+        for k, (param, g) in enumerate(((w, grad / count + decay * w / 10), (pair, (free_edges - held_edges) / count + decay * pair))):
             mom[2 * k] = 0.9 * mom[2 * k] + 0.1 * g
             mom[2 * k + 1] = 0.99 * mom[2 * k + 1] + 0.01 * g * g
             param -= rate * (mom[2 * k] / (1 - 0.9**step)) / (np.sqrt(mom[2 * k + 1] / (1 - 0.99**step)) + 1e-8)
-    return Model(weights, pair)
+    return Model({x: tuple(w[i].tolist()) for x, i in number.items()}, pair, heads)
+
+
+# ---------------------------------------------------------------------------------------------------------------------
+# Training
+
+
+def _long_line(text: str) -> int:
+    """Number of a page by its longest line: copies of a page have the same."""
+    longest = max(text.split("\n"), key=lambda x: (len(x), x))
+    return int.from_bytes(blake2b(longest.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def form_counts(docs: DataFrame, forms: set[str], sites: set[str]) -> tuple[dict[tuple[str, str], int], dict[str, tuple[int, int]], dict[str, int], int]:
+    """Over all pages: by (site, form) and by form the pages (and sites) that have it, by site the pages, and all pages.
 
+    Counted are the given forms only, and what reaches the driver has a row for each of them and each of its given sites.
+    """
+    given = docs.sparkSession.sparkContext.broadcast(frozenset(forms))
 
-def train(docs: DataFrame, pages: int = TRAIN_PAGES, longest: int = 80) -> Model:
-    """Model fitted on at most ``pages`` pages (text, site) drawn by hash; of each at most ``longest`` blocks count."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = given.value
+        for b in batches:
+            rows = set()
+            for text, site in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                names, page = site_names(site), None
+                for raw in dict.fromkeys(text.split("\n")):
+                    if not raw or raw.isspace():
+                        continue
+                    form = normal(raw, names)
+                    for f in (form, *leads(form)):
+                        if f in wanted:
+                            page = _long_line(text) if page is None else page
+                            rows.add((site, f, page))
+            cols = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["site", "form", "page"])
+
+    spark = docs.sparkSession
+    own = docs.where("text is not null").select("text", F.lower(F.trim(F.coalesce("site", F.lit("")))).alias("site"))
+    # two steps, so that a line of a third of all pages is spread out before it comes together
+    found = table(own.mapInArrow(run, "site string, form string, page long").groupBy("site", "form", "page").agg(F.lit(1).alias("one")), "forms")
+    by_site = found.groupBy("site", "form").agg(F.count("*").alias("n"))
+    ours = F.broadcast(spark.createDataFrame([(s,) for s in sorted(sites)], "site string"))
+    local = {(r.site, r.form): r.n for r in by_site.join(ours, "site").where(f"n >= {SITE_PAGES}").collect()}
+    total = found.groupBy("form", "page").agg(F.lit(1).alias("one")).groupBy("form").agg(F.count("*").alias("n")).join(by_site.groupBy("form").agg(F.count("*").alias("s")), "form")
+    whole = {r.form: (r.n, r.s) for r in total.where(f"n >= {ALL_PAGES}").collect()}
+    pages = own.groupBy("site").agg(F.count("*").alias("n"))
+    size = {r.site: r.n for r in pages.join(ours, "site").collect()}
+    return local, whole, size, own.count()
+
+
+def train(docs: DataFrame, pages: int = TRAIN_PAGES) -> Model:
+    """Model fitted on at most ``pages`` whole pages (id, text, site) drawn by hash, labelled by counts over all pages."""
     drawn = docs.where("text is not null").select("id").orderBy(F.xxhash64("id", F.lit(17)), "id").limit(pages)
     some = docs.select("id", "text", "site").join(F.broadcast(drawn), "id", "left_semi").where("text is not null").collect()
     some.sort(key=lambda r: (r.id, r.text))
-    examples = []
-    for r in some:
-        _, kinds, gap = blocks(r.text, r.site)
-        examples.append((features(kinds, gap)[:longest], label_page(kinds, gap)[:longest]))
-    return fit(examples)
+    read = [blocks(r.text, r.site) for r in some]
+    of = [(r.site or "").strip().lower() for r in some]
+    forms = {f for p in read for x in p.lines for f in (x.form, *leads(x.form)) if not wordless(f)}
+    local, whole, size, n = form_counts(docs, forms, set(of))
+
+    def known(site: str, form: str, kind: int) -> bool:
+        factor = 2 if kind <= _K["sentence"] else 1
+        here, (all_, sites) = local.get((site, form), 0), whole.get(form, (0, 0))
+        return here >= factor * max(SITE_PAGES, SITE_SHARE * size.get(site, 0)) or all_ >= factor * max(ALL_PAGES, ALL_SHARE * n) and sites >= ALL_SITES
+
+    repeated = [[known(s, x.form, x.kind) for x in p.lines] for p, s in zip(read, of, strict=True)]
+    part = [[any(known(s, f, _EDGE) for f in leads(x.form)) for x in p.lines] for p, s in zip(read, of, strict=True)]
+    heads = box_heads(read, repeated)
+    return fit([(features(p, heads), label_page(p, r, t, heads)) for p, r, t in zip(read, repeated, part, strict=True)], heads)
 
 
 def furniture_lines(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(id, line_no) of every furniture line of docs (id, text, site)."""
-    model = model or train(docs)
-    given = docs.sparkSession.sparkContext.broadcast((model.unary, model.pair))
+    given = docs.sparkSession.sparkContext.broadcast(model or train(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*given.value)
+        own = given.value
         for b in batches:
             ids: list[int] = []
             lines: list[int] = []
@@ -486,11 +584,10 @@ def furniture_lines(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 def main_bodies(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(id, body): the text without its furniture lines; other lines, blank ones included, stay as they are.  Null stays null."""
-    model = model or train(docs)
-    given = docs.sparkSession.sparkContext.broadcast((model.unary, model.pair))
+    given = docs.sparkSession.sparkContext.broadcast(model or train(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*given.value)
+        own = given.value
         for b in batches:
             out = []
             for text, site in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):

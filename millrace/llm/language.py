@@ -165,11 +165,11 @@ def bare_share(lines: list[str]) -> float:
 
 def evidence(docs: DataFrame, words: dict[str, tuple[float, ...]], model: furniture.Model) -> DataFrame:
     """Text evidence of docs (id, text, site, url, label)."""
-    given = docs.sparkSession.sparkContext.broadcast((words, model.unary, model.pair))
+    given = docs.sparkSession.sparkContext.broadcast((words, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_model_, unary, pair = given.value
-        judge, pages = Judge(word_model_), furniture.Model(unary, pair)
+        known, pages = given.value
+        judge = Judge(known)
         names = [f.split()[0] for f in _SCHEMA.split(", ")]
         for b in batches:
             cols: list[list] = [[] for _ in names]

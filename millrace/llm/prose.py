@@ -234,10 +234,10 @@ _TYPES = (pa.string(), pa.int64(), *([pa.float64()] * 7), pa.bool_())
 
 def measure(records: DataFrame, model: furniture.Model | None = None) -> DataFrame:
     """Statistics of records (id, text[, site]).  With a model, lines of page furniture are left out."""
-    given = None if model is None else records.sparkSession.sparkContext.broadcast((model.unary, model.pair))
+    given = None if model is None else records.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = None if given is None else furniture.Model(*given.value)
+        own = None if given is None else given.value
         for b in batches:
             sites = b.column(2).to_pylist() if own is not None else [None] * b.num_rows
             ids, rows = [], []

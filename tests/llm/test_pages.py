@@ -1,64 +1,138 @@
 """Operators that judge text, on small pages of known content."""
 
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import furniture, language, pii, prose
 from tests.llm.test_exact import NASTY, docs
 
-MENU = "Jobs\nArchive\nAbout us\nHelp\nPostcard\nShop"
+NOUNS = "printer ledger harbour window carpenter valley mirror orchard postcard ranking".split()
+VERBS = "sorts paints visits repairs copies measures forgets rewrites".split()
+
+
+def sentence(rng):
+    return f"The {rng.choice(NOUNS)} {rng.choice(VERBS)} the {rng.choice(NOUNS)} before the {rng.choice(NOUNS)} of number {rng.choice(NOUNS)} opens in the {rng.choice(NOUNS)}."
+
+
+SITES = {
+    "north-press.example": (["Products", "Pricing", "Careers", "Support"], "We and our vendors use tracking technologies", "Sign up for updates"),
+    "quiet-room.test": (["Menü", "Wohnen", "Garten", "Technik"], "Datenschutz und Impressum", "Kurz notiert"),
+    "old-mill.example": (["Start", "Listings", "Agents", "Sell"], "Privacy Policy of the group", "More for you"),
+    "far-coast.test": (["Rubriques", "Idées", "Livres", "Radio"], "Mentions diverses", "Encore"),
+}
+
+
+def page(rng, site):
+    """Lines of a page and which are furniture; menus, notices and boxes differ by site, bodies by page."""
+    menu, notice, head = SITES[site]
+    body = [(sentence(rng) + " " + sentence(rng), False) for _ in range(rng.randint(2, 5))]
+    box = [(head, True)] + [(f"A {rng.choice(NOUNS)} for the {rng.choice(NOUNS)} and {rng.choice(NOUNS)}", True) for _ in range(rng.randint(2, 3))]
+    at = rng.randint(1, len(body) - 1)
+    lines = [(x, True) for x in menu] + body[:at] + box + body[at:] + [(notice, True), (f"© {rng.randint(1990, 2020)} {site}", True)]
+    if rng.random() < 0.5:
+        lines = [(" | ".join(menu), True), *lines[len(menu) :]]
+    return lines
+
+
+def corpus(seed, n, sites=tuple(SITES)):
+    rng = random.Random(seed)
+    return [(i, page(rng, s := rng.choice(sites)), s) for i in range(n)]
+
+
 BODY = "The long day\nThe printer sorts the ledger before the doors open. It took four weeks before anyone saw that.\nNobody knows why the harbour is so quiet, and that is the point."
-BOX = "Related stories\n1. The quiet ferry\n2. This corpus from the spring crawl\nIf another handmade alm... Continue reading"
-FOOT = "Print this page   Report a problem\n© 2019 some-site.example. All rights reserved.\nBack to top"
-PAGE = "\n".join(["Some Site", MENU, "Last updated 2.9.2023", BODY, BOX, BODY, FOOT])
 
 
 @pytest.fixture(scope="module")
-def model():
-    pages = []
-    for menu in (MENU, MENU.replace("\n", " | "), ""):
-        for box in (BOX, "", BOX.replace("1. ", "").replace("2. ", "")):
-            for gap in ("\n", "\n\n"):
-                text = gap.join(x for x in [menu, BODY, box, BODY, FOOT] if x)
-                _, kinds, gaps = furniture.blocks(text, "some-site.example")
-                pages.append((furniture.features(kinds, gaps), furniture.label_page(kinds, gaps)))
-    return furniture.fit(pages)
+def pages(spark):
+    rows = [(i, "\n".join(x for x, _ in lines), s) for i, lines, s in corpus(1, 160)]
+    return spark.createDataFrame(rows, "id long, text string, site string")
 
 
-def test_page_body(model):
-    body = furniture.own_body(model, PAGE, "some-site.example")
-    assert body == BODY + "\n" + BODY
-    at, states = model.page(PAGE, "some-site.example")
-    assert at == list(range(len(PAGE.split("\n")))) and set(states) == {0, 1, 2}
+@pytest.fixture(scope="module")
+def model(pages):
+    return furniture.train(pages)
 
 
-def test_viterbi_finds_the_best_path(model):
-    import itertools
+def test_no_phrases_are_written_down():
+    source = open(furniture.__file__).read().lower()
+    assert not [w for w in ("cookie", "accept all", "newsletter", "impressum", "rights reserved", "comments", "版权") if w in source]
+
+
+def test_furniture_is_learned_from_repetition(model):
+    right = wrong = missed = 0
+    for _, lines, s in corpus(2, 60):
+        _, states = model.page("\n".join(x for x, _ in lines), s)
+        for (_, want), got in zip(lines, states, strict=True):
+            right += want and got > 0
+            missed += want and got == 0
+            wrong += got > 0 and not want
+    assert right / (right + missed) > 0.95 and right / (right + wrong) > 0.95
+
+
+def test_held_out_site_is_read_by_shape(spark):
+    """Furniture of a site that training has not seen: its words are unknown, its shape and place are not."""
+    others = [s for s in SITES if s != "old-mill.example"]
+    rows = [(i, "\n".join(x for x, _ in lines), s) for i, lines, s in corpus(3, 160, others)]
+    held = furniture.train(spark.createDataFrame(rows, "id long, text string, site string"))
+    right = total = wrong = 0
+    for _, lines, s in corpus(4, 40, ["old-mill.example"]):
+        _, states = held.page("\n".join(x for x, _ in lines), s)
+        right += sum(w and g > 0 for (_, w), g in zip(lines, states, strict=True))
+        wrong += sum(g > 0 and not w for (_, w), g in zip(lines, states, strict=True))
+        total += sum(w for _, w in lines)
+    assert right / total > 0.7 and right / (right + wrong) > 0.9
+
 
-    _, kinds, gap = furniture.blocks("\n".join(PAGE.split("\n")[:6]), None)
-    f = furniture.features(kinds, gap)
+def test_copies_of_a_page_are_no_furniture(spark):
+    rng = random.Random(7)
+    lines = page(rng, "north-press.example")
+    rows = [(i, "\n".join(x for x, _ in y), s) for i, y, s in corpus(6, 80)]
+    rows += [(1000 + i, "\n".join(x for x, _ in lines), s) for i in range(30) for s in ["north-press.example"]]
+    _, states = furniture.train(spark.createDataFrame(rows, "id long, text string, site string")).page("\n".join(x for x, _ in lines), "north-press.example")
+    assert [s > 0 for (_, w), s in zip(lines, states, strict=True) if not w] == [False] * sum(not w for _, w in lines)
+
+
+def test_viterbi_finds_the_best_path(model):
+    lines = page(random.Random(5), "north-press.example")[:6]
+    _, gap, seen = model.read("\n".join(x for x, _ in lines), "north-press.example")
+    scores = model.scores(gap, seen)
 
     def score(path):
-        s = sum(model.unary[x, k] for k, row in zip(path, f, strict=True) for x in row)
-        return s + sum(model.pair[a, b] for a, b in itertools.pairwise(path))
+        return sum(scores[i][k] for i, k in enumerate(path)) + sum(model.pair[a, b] for a, b in itertools.pairwise(path))
+
+    best = max(itertools.product(range(3), repeat=len(scores)), key=score)
+    assert score(model.path(scores)) == pytest.approx(score(best))
+
 
-    best = max(itertools.product(range(3), repeat=len(f)), key=score)
-    assert score(model.decode(f)) == pytest.approx(score(best))
+def test_decoding_sums_the_weights_of_the_features(model):
+    for _, lines, s in corpus(8, 5):
+        text = "\n".join(x for x, _ in lines)
+        whole = [[sum(model.weights.get(k, (0, 0, 0))[j] for k in f) for j in range(3)] for f in furniture.features(furniture.blocks(text, s), model.heads)]
+        _, gap, seen = model.read(text, s)
+        assert [y for x in model.scores(gap, seen) for y in x] == pytest.approx([y for x in whole for y in x])
 
 
-def test_fit_learns_held_out_pages(model):
-    other = PAGE.replace("Postcard", "Barometer").replace("ferry", "windmill").replace("Archive\n", "News\nTannery\n")
-    _, kinds, gap = furniture.blocks(other, "some-site.example")
-    assert [s > 0 for s in model.decode(furniture.features(kinds, gap))] == [s > 0 for s in furniture.label_page(kinds, gap)]
+def test_partial_labels_raise_the_likelihood_of_allowed_paths(model):
+    feats = [[["a"], ["b"], ["a"]], [["a"], ["b"]]] * 5
+    labels = [[furniture.LABELS[0], furniture.LABELS[1], furniture.OPEN], [furniture.LABELS[0], furniture.OPEN]] * 5
+    m = furniture.fit(list(zip(feats, labels, strict=True)))
+    assert m.path([list(m.weights["a"]), list(m.weights["b"]), list(m.weights["a"])]) == [0, 1, 0]
+    assert furniture.fit([]).path([[0.0, 0.0, 0.0]]) == [0]
 
 
 def test_furniture_of_nasty_pages(spark, model):
-    d = docs(spark, [*NASTY, (20, PAGE)], site="some-site.example")
-    lines = furniture.furniture_lines(d, model).collect()
-    assert {r.id for r in lines if r.id not in (5, 6, 7)} >= {20}
+    lines = page(random.Random(9), "north-press.example")
+    text = "\n".join(x for x, _ in lines)
+    d = docs(spark, [*NASTY, (20, text)], site="north-press.example")
+    got = {r.line_no for r in furniture.furniture_lines(d, model).where("id = 20").collect()}
+    assert got == {i for i, (_, w) in enumerate(lines) if w}
     bodies = {r.id: r.body for r in furniture.main_bodies(d, model).collect()}
-    assert bodies[1] is None and bodies[2] == "" and bodies[20] == BODY + "\n" + BODY and len(bodies) == len(NASTY) + 1
+    assert bodies[1] is None and bodies[2] == "" and bodies[20] == "\n".join(x for x, w in lines if not w) and len(bodies) == len(NASTY) + 1
     assert furniture.furniture_lines(docs(spark, [])).count() == 0
+    assert furniture.furniture_lines(docs(spark, NASTY, site=None)).count() >= 0
 
 
 @pytest.mark.parametrize(
