@@ -49,6 +49,7 @@ HEAD_TIMES, HEAD_SHARE = 3, 0.7
 SHORT = 160
 
 _HOST = re.compile(r"(?:https?://)?[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}\b(?:/\S*)?")
+_DOT = re.compile(r"\.[a-z]{2}")
 _NUMBER = re.compile(r"\d+")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|#|@|[^\w\s]")
 _HAN = re.compile(r"[㐀-鿿]")
@@ -75,7 +76,7 @@ def normal(line: str, names: tuple[str, ...] = ()) -> str:
     for name in names:
         if len(name) > 2 and name in n:
             n = n.replace(name, "@")
-    if "." in n and len(n) <= SHORT:
+    if len(n) <= SHORT and _DOT.search(n):
         n = _HOST.sub("@", n)
     return _NUMBER.sub("#", n)
 
@@ -118,20 +119,31 @@ def _shape(bare: str, n: str, size: int, letters: int, ends: bool, parts: list[s
 
 _BASE = {}
 _at = 0
-for _name, _size in (("bias", 1), ("kind", _NK), ("gap", 4 * _NK), ("prev", _NK * _NK), ("next", _NK * _NK), ("around", _NK * _NK), ("top", 8 * _NK), ("low", 8 * _NK), ("len", 12), ("parts", 8), ("flags", 64), ("since", 10 * 2 * _NK), ("run", 8 * _NK), ("prose", 9 * _NK)):
+for _name, _size in (("kind", _NK), ("gap", 4 * _NK), ("prev", _NK * _NK), ("next", _NK * _NK), ("around", _NK * _NK), ("top", 8 * _NK), ("low", 8 * _NK), ("len", 12), ("parts", 8), ("flags", 64), ("since", 10 * 2 * _NK), ("run", 8 * _NK), ("prose", 9 * _NK)):
     _BASE[_name] = _at
     _at += _size
 _PLACE = (0, 1, 2, 3, 4, 4, 5, 5, 5, 6, 6, 6, 6)
 
 
+def _long_keys(start: str, bare: str) -> tuple[int | str, ...]:
+    words = _TOKEN.findall(start)
+    return (_BASE["kind"] + _K["long"], _BASE["flags"] + (start[0] == "@"), _BASE["flags"] + 8 + bool(_ENDS.search(bare[-8:])), "<" + " ".join(words[:2]), "<" + " ".join(words[:4]))
+
+
 def _line(raw: str, names: tuple[str, ...]) -> Line:
     bare = raw.strip()
     n = normal(bare, names)
     b = _BASE
     if len(n) > SHORT:
-        words = _TOKEN.findall(n, 0, 80)
-        kind = _K["long"]
-        return Line(n, kind, (b["bias"], b["kind"] + kind, b["len"] + min(11, len(n) // 12), b["flags"] + 2 + (n[0] == "@"), b["flags"] + 16 + bool(_ENDS.search(n[-8:])), "<" + " ".join(words[:2]), "<" + " ".join(words[:4])))
+        return Line(n, _K["long"], _long_keys(n[:80], bare))
+    ends = bool(_ENDS.search(bare))
+    if ends and len(n) > 40 and "..." not in n and "…" not in n:  # a sentence, however it goes on inside
+        words = n.split(" ")
+        if _HAN.search(n):
+            words = [*n[:4], *n[-5:]]
+        kind = _K["sentence"]
+        marks = [i for i, f in enumerate((n[0] == "@", "@" in n, "#" in n, ":" in n, bare[0].islower())) if f]
+        return Line(n, kind, (b["kind"] + kind, b["len"] + min(11, len(n) // 12), *(b["flags"] + 2 + i for i in marks), "=" + n, "<" + " ".join(words[:2]), ">" + " ".join(words[-2:]), "<" + " ".join(words[:4]), ">" + " ".join(words[-4:])))
     tokens = _TOKEN.findall(n)
     plain = [w for w in tokens if w[0].isalnum()]
     letters = sum(map(len, plain))
@@ -141,13 +153,12 @@ def _line(raw: str, names: tuple[str, ...]) -> Line:
         if han * 2 > letters:
             plain = [c for c in n if c.isalnum()]
     parts = _PARTS.split(n)
-    ends = bool(_ENDS.search(bare))
     size = len(tokens) + (han // 2 if wide else 0)
     kind = _shape(bare, n, size, letters, ends, _PARTS.split(bare) if "  " in bare or "\t" in bare else parts)
     marks = "♥" in n or "↻" in n or "✉" in n or "[+]" in n
     flags = (raw[0] in " \t", n[0] == "@", "@" in n, "#" in n, "#.#.#" in n or "#-#-#" in n or "#/#/#" in n, bare.isupper(), bare[0].islower(), wide, ends, ":" in n or "：" in n, "©" in n, bare[-1] in ")]", bare[0].isdigit(), marks, "  " in bare)
-    out = [b["bias"], b["kind"] + kind, b["len"] + min(11, len(n) // 12), b["parts"] + min(7, len(parts)), "=" + n]
-    out += [b["flags"] + 2 * i + f for i, f in enumerate(flags)]
+    out = [b["kind"] + kind, b["len"] + min(11, len(n) // 12), b["parts"] + min(7, len(parts)), "=" + n]
+    out += [b["flags"] + 16 + i for i, f in enumerate(flags) if f]
     if plain:
         out += ["<" + " ".join(plain[:2]), ">" + " ".join(plain[-2:]), "<" + " ".join(plain[:4]), ">" + " ".join(plain[-4:])]
         if len(plain) <= 14:
@@ -368,6 +379,11 @@ class Model:
 
     def _weigh(self, raw: str, names: tuple[str, ...]) -> tuple:
         """Of one line: kind, whether it heads a box, its own score, and what it adds to the next and to the last line."""
+        if len(raw) > 2 * SHORT:  # of a long line only the start and the end are features
+            bare = raw.strip()
+            start = normal(bare[: 2 * SHORT], names)
+            if len(start) > SHORT:
+                return _K["long"], False, self._sum(_long_keys(start[:80], bare)), None, None
         line = _line(raw, names)
         get = self.weights.get
         after, before = (get("p" + line.form), get("n" + line.form)) if line.kind > 1 else (None, None)

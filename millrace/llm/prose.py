@@ -97,23 +97,22 @@ def no_language(line: str, words: list[str], han: int) -> bool:
     s = line.strip()
     if _LOG.match(s):
         return True
-    solid = len("".join(s.split()))
-    letters = len(_LETTER.findall(s))
+    solid = len(s) - s.count(" ") if s.isascii() and "\t" not in s else len("".join(s.split()))
+    letters = sum(map(len, words))
     if letters < (0.15 if han else 0.4) * solid:
         return True
     if han * 3 > letters:
         return False
     if not s.isascii() and len(_STRANGE.findall(s)) > 0.35 * solid:
         return True
-    if _CODE.search(s) and len(_CODE_SIGN.findall(s)) >= 3:
+    if ("(" in s or s[-1] in ";{}") and len(_CODE_SIGN.findall(s)) >= 3 and _CODE.search(s):
         return True
     if han:
         return False
-    common = sum(w in ANY_COMMON for w in words if len(w) > 1)
     blob = _BLOB.search(s)
-    if blob and not common and (len(blob[0]) > 30 or re.search(r"\d", blob[0]) and re.search(r"[A-Za-z]", blob[0])):
+    if blob and (len(blob[0]) > 30 or re.search(r"\d", blob[0]) and re.search(r"[A-Za-z]", blob[0])) and not any(len(w) > 1 and w in ANY_COMMON for w in words):
         return True
-    if len(words) >= 3 and common < 0.15 * len(words) and _NOISE.match(s):
+    if len(words) >= 3 and _NOISE.match(s) and sum(w in ANY_COMMON for w in words if len(w) > 1) < 0.15 * len(words):
         return sum(bool(_HARSH.search(w)) for w in words) * 2 >= len(words)
     return False
 
@@ -131,7 +130,7 @@ def line_classes(lines: list[str]) -> list[int]:
     """Class of each non-blank line of a body."""
     n = len(lines)
     words = [_WORD.findall(plain(x)) for x in lines]
-    han = [len(_HAN.findall(x)) for x in lines]
+    han = [0 if x.isascii() or not _HAN.search(x) else len(_HAN.findall(x)) for x in lines]
     ends = [bool(ENDS.search(x.strip())) for x in lines]
     grid = [(-1, 1) if e and len(w) > 6 else cells(x) for x, e, w in zip(lines, ends, words, strict=True)]
     size = [len(w) + h // 2 for w, h in zip(words, han, strict=True)]
