@@ -250,3 +250,14 @@ def test_settings():
     assert Settings().having(ngram=3, seeds=None) == Settings(ngram=3)
     with pytest.raises(ValueError):
         Settings().having(colour=1)
+
+
+@pytest.mark.parametrize("broadcast_keys, hot_keys", [(100, 5), (0, 5), (0, 1), (0, 1000)])
+def test_lookup_of_hot_and_rare_keys(spark, broadcast_keys, hot_keys):
+    from millrace.operators.joins import lookup
+
+    rows = [(i, None if i % 11 == 0 else "hot" if i % 2 else f"k{i % 7}") for i in range(300)]
+    keyed = [("hot", 150, 1.5), ("k1", 20, 2.5), ("k2", 20, None), ("k3", 5, 3.5), ("never", 0, 9.0)]
+    got = lookup(spark.createDataFrame(rows, "id long, key string"), spark.createDataFrame(keyed, "key string, n long, value double"), ["key"], "n", broadcast_keys, hot_keys)
+    values = {k: v for k, _, v in keyed}
+    assert sorted(got.columns) == ["id", "key", "value"] and {r.id: r.value for r in got.collect()} == {i: values.get(k) for i, k in rows} and got.count() == 300
