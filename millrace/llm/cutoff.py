@@ -1,23 +1,27 @@
 """Score cutoffs that keep a target share of each source.
 
 Scores are coded as integers of ``BITS`` bits that keep their order.  A count tree over the codes holds, for each source, the
-number of scores below every dyadic node; it is a table (source, depth, node, n), and a batch is added by adding node counts,
-or taken out by adding them negated.  The cutoff of a source is found by descending from the root: left if the left child
-holds the target rank, else right with the rank less the left child's count.  The leaf that is reached is refined to its
-distinct scores, and equal scores at the cutoff to line ids, by the same descent over id codes.
-
-No step gathers the rows of a source: leaves are counted map-side, and a tree has at most 2^(BITS + 1) nodes a source.
+number of scores below every dyadic node, as rows (source, depth, node, n).  It is kept in a folder (``ScoreTree``): each batch
+appends its node counts and its scored lines under its name, a batch written again under the same name replaces itself, a batch
+can be taken out, and the folder is opened again by its path.  The cutoff of a source is found by descending from the root: left
+if the left child holds the target rank, else right with the rank less the left child's count.  The leaf that is reached is
+refined to its distinct scores by the same descent over the bits of the scores, and equal scores at the cutoff to line ids by
+descent over id codes.
+
+No step gathers the rows of a source: leaves are counted map-side, and a tree has at most 2^(BITS + 1) nodes a source.  Lines of
+different batches are taken to be different lines.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..store import table
+from ..store import shared_dir, table
 
 BITS = 14
 
@@ -114,6 +118,16 @@ def ranked_ids(rows: DataFrame, ranks: DataFrame) -> DataFrame:
     return found.select("source", F.expr(f"prefix + ({lo}L)").alias("cut"))
 
 
+def double_bits(c: Column) -> Column:
+    """The 64 bits of a double as a long."""
+
+    @F.pandas_udf("long")
+    def run(v: pd.Series) -> pd.Series:
+        return pd.Series(v.to_numpy(np.float64).view(np.int64))
+
+    return run(c)
+
+
 def cutoffs(scored: DataFrame, targets: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(source, n, keep, cut_ppl, cut_line_id): the last kept line of each source by (ppl, line_id).
 
@@ -125,10 +139,12 @@ def cutoffs(scored: DataFrame, targets: DataFrame, counts: DataFrame | None = No
     counts = tree(scored.select("source", "code")) if counts is None else counts
     size = counts.where("depth = 0").select("source", "n").join(goal, "source").withColumn("keep", F.expr("n * pct div 100"))
     leaf = descend(counts, size.where("keep > 0").select("source", F.col("keep").alias("rank")))
-    # refine the leaf to distinct scores
-    inside = scored.join(leaf.withColumnRenamed("leaf", "code"), ["source", "code"]).groupBy("source", "left", "ppl").agg(F.count("*").alias("m"))
-    upto = F.sum("m").over(Window.partitionBy("source").orderBy("ppl").rowsBetween(Window.unboundedPreceding, 0))
-    cut = inside.withColumn("upto", upto).where("upto >= left and upto - m < left").select("source", F.col("ppl").alias("cut_ppl"), (F.col("left") - F.col("upto") + F.col("m")).alias("rank"), "m")
+    # refine the leaf to distinct scores: the bits of positive doubles have their order
+    inside = table(scored.join(F.broadcast(leaf.withColumnRenamed("leaf", "code")), ["source", "code"]).select("source", double_bits(F.col("ppl")).alias("bits"), "ppl"), "leaf")
+    least = inside.groupBy("source").agg(F.min("bits").alias("low"))  # so that the range is a leaf's and few digits are needed
+    moved = inside.join(F.broadcast(least), "source").select("source", (F.col("bits") - F.col("low")).alias("line_id"))
+    at = ranked_ids(moved, leaf.select("source", F.col("left").alias("rank"))).join(least, "source").select("source", (F.col("cut") + F.col("low")).alias("cut_bits")).join(leaf.select("source", "left"), "source")
+    cut = inside.join(F.broadcast(at), "source").groupBy("source").agg(F.max(F.when(F.col("bits") == F.col("cut_bits"), F.col("ppl"))).alias("cut_ppl"), (F.first("left") - F.count_if(F.col("bits") < F.col("cut_bits"))).alias("rank"), F.count_if(F.col("bits") == F.col("cut_bits")).alias("m"))
     return size.join(cut, "source", "left").select("source", "n", "keep", "cut_ppl", "rank", "m")
 
 
@@ -147,16 +163,51 @@ def dropped(scored: DataFrame, cuts: DataFrame) -> DataFrame:
     return scored.join(cuts, "source").where(behind).select("source", "line_id")
 
 
+class ScoreTree:
+    """A count tree with its scored lines in a folder; ``path`` opens one that is there, or starts one."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark = spark
+        self.path = path or f"{shared_dir(spark)}/score-tree-{uuid.uuid4().hex}"
+
+    def add(self, scored: DataFrame, batch: str) -> ScoreTree:
+        """Node counts and lines of a batch (source, line_id, ppl, code).  The lines are written first: counts are made of what was stored."""
+        if not batch or "/" in batch:
+            raise ValueError("a batch needs a name without slashes")
+        scored.select("source", "line_id", "ppl", "code").write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/lines/{batch}")
+        lines = self.spark.read.parquet(f"{self.path}/lines/{batch}")
+        tree(lines.select("source", "code")).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/nodes/{batch}")
+        return self
+
+    def take_out(self, batch: str) -> ScoreTree:
+        """The tree without a batch: its lines and counts become empty."""
+        none = self.spark.createDataFrame([], "source string, line_id long, ppl double, code long")
+        return self.add(none, batch)
+
+    def lines(self) -> DataFrame:
+        return self.spark.read.schema("source string, line_id long, ppl double, code long").option("recursiveFileLookup", True).parquet(f"{self.path}/lines")
+
+    def counts(self) -> DataFrame:
+        """(source, depth, node, n) summed over the batches."""
+        nodes = self.spark.read.schema("source string, depth int, node long, n long").option("recursiveFileLookup", True).parquet(f"{self.path}/nodes")
+        return add(nodes, nodes.where("false"))
+
+
 class Cutoffs:
-    """Cutoffs of a corpus: ``scored`` and the persistent ``tree`` are tables in the shared folder, ``cuts`` one row a source.
+    """Cutoffs of a stored tree: ``scored`` are its lines, ``cuts`` has one row a source.
 
     Lines without source, id or valid score are in none of them; empty tables give empty results.
     """
 
-    def __init__(self, lines: DataFrame, scores: DataFrame, targets: DataFrame):
-        self.scored = table(scored_lines(lines, scores), "scored")
-        self.tree = table(tree(self.scored.select("source", "code")), "count-tree")
+    def __init__(self, stored: ScoreTree, targets: DataFrame):
+        self.scored = stored.lines()
+        self.tree = table(stored.counts(), "count-tree")
         self.cuts = table(with_ties(self.scored, table(cutoffs(self.scored, targets, self.tree), "cuts")), "cutoffs")
 
+    @classmethod
+    def of(cls, lines: DataFrame, scores: DataFrame, targets: DataFrame) -> Cutoffs:
+        """Cutoffs of lines that come as one batch."""
+        return cls(ScoreTree(lines.sparkSession).add(scored_lines(lines, scores), "all"), targets)
+
     def dropped(self) -> DataFrame:
         return dropped(self.scored, self.cuts)

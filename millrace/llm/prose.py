@@ -5,7 +5,8 @@ words, and the share of its lines that are list items, table rows or no language
 
 Ranks are exact: distinct values are counted first, sorted by range partitions, and every partition adds the offset of those
 before it.  The two empirical-cumulative tail probabilities of each statistic combine into an outlier score, the sum of the
-negative logarithms of the smaller tail.
+negative logarithms of the smaller tail.  A second score takes of the statistics of the layout (``LAYOUT``) only the tail that
+lists, tables and dumps are in; records are ranked by it within their language, and ``outlying`` keeps the top of each language.
 
 Nulls and blank texts give no row.  Statistics without a basis (no words, no lines) are 0.  A record without any language
 belongs to no language's ranks; its score is infinite.
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import furniture
+from ..operators.joins import lookup, partitions
 from ..store import table
 
 PROSE, ITEM, ROW, NONE = 0, 1, 2, 3
@@ -251,14 +253,14 @@ def measure(records: DataFrame, model: furniture.Model | None = None) -> DataFra
     return records.where("text is not null").select(*columns).mapInArrow(run, _SCHEMA)
 
 
-def exact_ranks(values: DataFrame, partitions: int = 16) -> DataFrame:
+def exact_ranks(values: DataFrame) -> DataFrame:
     """(grp, stat, value, n, upto, total): for each distinct value its count, the rows of its group up to it, and the group's rows.
 
     Values are counted map-side, then sorted by range partitions.  Each partition's rows by group reach the driver (partitions
     times groups, not rows), and become the offsets of the partitions behind it.
     """
     counted = values.groupBy("grp", "stat", "value").agg(F.count("*").alias("n"))
-    part = counted.repartitionByRange(partitions, "grp", "stat", "value").sortWithinPartitions("grp", "stat", "value")
+    part = counted.repartitionByRange(partitions(values), "grp", "stat", "value").sortWithinPartitions("grp", "stat", "value")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, upto = None, 0
@@ -281,14 +283,41 @@ def exact_ranks(values: DataFrame, partitions: int = 16) -> DataFrame:
     return sorted_.join(F.broadcast(offsets), ["grp", "stat", "part"]).select("grp", "stat", "value", "n", (F.col("before") + F.col("within")).alias("upto"), "total")
 
 
+#: Statistics of the layout, and the tail that lists, tables and dumps are in: -1 low values, 1 high ones.
+LAYOUT = {"end_share": -1, "junk_share": 1}
+
+
 def outliers(measured: DataFrame, keys: list[str]) -> DataFrame:
-    """``measured`` with an outlier score: over all statistics, the negative logarithm of the smaller tail probability within the language.
+    """``measured`` with ``score`` and ``layout_score``, the sums over statistics of the negative logarithm of a tail probability within the language.
 
-    Tail probabilities count the value itself on either side, so they are above 0; the score adds log 1/p of the smaller tail.
+    ``score`` takes the smaller tail of every statistic, ``layout_score`` the tail of LAYOUT.  Tail probabilities count the value
+    itself, so they are above 0.  Tails are looked up one statistic at a time; a value that a large part of the records share is
+    broadcast (``lookup``).  Columns of ``measured`` named score or layout_score give way; records without a language have
+    infinite scores.
     """
+    measured = measured.drop("score", "layout_score")
     spoken = measured.where("lang <> ''")
-    long_ = spoken.select(*keys, F.col("lang").alias("grp"), F.expr("stack(7, " + ", ".join(f"'{s}', cast({s} as double)" for s in STATISTICS) + ") as (stat, value)"))
-    ranks = exact_ranks(long_.select("grp", "stat", "value"))
-    tails = ranks.select("grp", "stat", "value", (F.least(F.col("upto"), F.col("total") - F.col("upto") + F.col("n")) / F.col("total")).alias("tail"))
-    scores = long_.join(tails, ["grp", "stat", "value"]).groupBy(*keys).agg(F.sum(-F.log("tail")).alias("score"), F.max(F.when(F.col("stat") == "junk_share", -F.log("tail"))).alias("junk_score"))
-    return measured.join(scores, keys, "left").withColumn("score", F.coalesce("score", F.lit(float("inf"))))
+    long_ = spoken.select(F.col("lang").alias("grp"), F.expr("stack(7, " + ", ".join(f"'{s}', cast({s} as double)" for s in STATISTICS) + ") as (stat, value)"))
+    ranks = table(exact_ranks(long_), "ranks")
+    tail = -F.log(F.least(F.col("upto"), F.col("total") - F.col("upto") + F.col("n")) / F.col("total"))
+    low, high = -F.log(F.col("upto") / F.col("total")), -F.log((F.col("total") - F.col("upto") + F.col("n")) / F.col("total"))
+    rows = measured
+    for s in STATISTICS:
+        own = ranks.where(F.col("stat") == s).select(F.col("grp").alias("lang"), F.col("value").alias(f"v_{s}"), "n", tail.alias(f"t_{s}"), *([(low if LAYOUT[s] < 0 else high).alias(f"d_{s}")] if s in LAYOUT else []))
+        rows = lookup(rows.withColumn(f"v_{s}", F.col(s).cast("double")), own, ["lang", f"v_{s}"])
+    infinite = F.lit(float("inf"))
+    score, layout = sum((F.col(f"t_{s}") for s in STATISTICS), F.lit(0.0)), sum((F.col(f"d_{s}") for s in LAYOUT), F.lit(0.0))
+    return rows.select(*measured.columns, F.coalesce(score, infinite).alias("score"), F.coalesce(layout, infinite).alias("layout_score"))
+
+
+def outlying(scored: DataFrame) -> DataFrame:
+    """Rows of ``scored`` (a table) at the top of their language by ``layout_score``, and those without a language.
+
+    The top of a language is as large as the number of its records whose lines are mostly items, rows or no language; the score's
+    exact ranks say which records are in it.  Records of equal score stand together.
+    """
+    spoken = scored.where("lang <> ''")
+    ranks = exact_ranks(spoken.select(F.col("lang").alias("grp"), F.lit("layout_score").alias("stat"), F.col("layout_score").alias("value")))
+    size = spoken.groupBy(F.col("lang").alias("grp")).agg(F.count_if(F.col("junk_share") > 0.5).alias("k"))  # one row a language
+    cuts = ranks.join(F.broadcast(size), "grp").where("upto > total - k").groupBy(F.col("grp").alias("lang")).agg(F.min("value").alias("cut"))
+    return scored.join(F.broadcast(cuts), "lang", "left").where("lang = '' or layout_score >= cut").drop("cut")

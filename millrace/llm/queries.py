@@ -46,11 +46,8 @@ SAMPLE_SIZE = 1000
 
 
 def p4_sample(spark: SparkSession, folder: str) -> DataFrame:
-    """Pieces are staged in the order of their numbers; the sample is drawn after the last one."""
-    docs = read(spark, folder, "documents")
-    stage = sampling.Stage(spark)
-    for (piece,) in sorted((tuple(r) for r in docs.select("batch_no").distinct().collect()), key=lambda r: (r[0] is None, r[0])):
-        stage.arrive(docs.where(F.col("batch_no").eqNullSafe(F.lit(piece))).select("doc_id", "text", "batch_no"))
+    """The pieces are in one table here, so one pass stages them all; the sample is drawn after the last one."""
+    stage = sampling.Stage(spark).arrive(read(spark, folder, "documents").select("doc_id", "text", "batch_no"), piece="batch_no")
     return stage.sample(SAMPLE_SIZE, seed=4).select("doc_id", "batch_no", "sample_rank", F.length("text").cast("long").alias("chars"))
 
 
@@ -99,7 +96,8 @@ def _quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    junk = _quality(spark, folder).where("counted and junk_share > 0.5")
+    """Records at the top of their language by layout score; one-liners of few words are ranked with the others, but are no cases."""
+    junk = prose.outlying(table(_quality(spark, folder), "scored")).where("counted")
     return junk.select("rec_table", F.col("id").alias("rec_id"))
 
 
@@ -108,7 +106,13 @@ def p5_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _cutoffs(spark: SparkSession, folder: str) -> cutoff.Cutoffs:
-    return cutoff.Cutoffs(*(read(spark, folder, t) for t in ("corpus_lines", "ppl_scores", "keep_targets")))
+    """A stored tree that gets the lines in two batches, the earlier and the later ones, and is opened again between and after them."""
+    lines, scores = read(spark, folder, "corpus_lines"), read(spark, folder, "ppl_scores")
+    middle = lines.agg(F.expr("percentile_approx(ingested_at, 0.5)").alias("at")).first()["at"]
+    early = F.coalesce(F.col("ingested_at") < F.lit(middle), F.lit(False)) if middle is not None else F.lit(False)
+    path = cutoff.ScoreTree(spark).add(cutoff.scored_lines(lines.where(early), scores), "early").path
+    cutoff.ScoreTree(spark, path).add(cutoff.scored_lines(lines.where(~early), scores), "late")
+    return cutoff.Cutoffs(cutoff.ScoreTree(spark, path), read(spark, folder, "keep_targets"))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -103,7 +103,7 @@ def test_cutoffs(spark):
     lines = [(i, rng.choice([" News", "news", "Blogs ", None, "", "alone", "rare"])) for i in range(-50, 400)]
     rows = [(i, rng.choice([1.0, 2.5, 2.5, 30.0, float("nan"), float("inf"), -1.0, None, 1e-300, 1e300]), at(rng.randrange(3)) if rng.random() < 0.9 else None) for i in range(-60, 400) for _ in range(2)]
     goals = [("NEWS", 50), ("blogs", 100), ("rare", 0), ("rare", None)]
-    got = cutoff.Cutoffs(
+    got = cutoff.Cutoffs.of(
         spark.createDataFrame(lines, "line_id long, source string").withColumn("ppl", F.lit(1)).withColumn("code", F.lit("x")),
         scores(spark, rows),
         spark.createDataFrame(goals, "source string, keep_pct int"),
@@ -124,7 +124,7 @@ def test_cutoffs(spark):
 
 
 def test_cutoffs_of_nothing(spark):
-    got = cutoff.Cutoffs(spark.createDataFrame([], "line_id long, source string"), scores(spark, []), spark.createDataFrame([("a", 5)], "source string, keep_pct int"))
+    got = cutoff.Cutoffs.of(spark.createDataFrame([], "line_id long, source string"), scores(spark, []), spark.createDataFrame([("a", 5)], "source string, keep_pct int"))
     assert got.dropped().count() == 0 and got.cuts.count() == 0
 
 
@@ -147,10 +147,81 @@ def test_ranked_ids_over_the_whole_range(spark):
         assert got.cut == sorted(ids)[k - 1]
 
 
+def test_stored_tree_is_opened_again_and_fed_in_batches(spark, tmp_path):
+    rng = random.Random(11)
+    rows = [(s, i, rng.choice([0.01, 3.5, 1e9, 2e9, 3e9, 7.25, rng.uniform(2, 2.01)])) for i in range(400) for s in ["ab"[i % 2]]]
+    coded = lambda part: spark.createDataFrame(part, "source string, line_id long, ppl double").withColumn("code", cutoff.score_code(F.col("ppl")))
+    goal = spark.createDataFrame([("A ", 37), ("b", 80)], "source string, keep_pct int")
+
+    def want(part):
+        out = {}
+        for s, pct in (("a", 37), ("b", 80)):
+            own = sorted((p, i) for x, i, p in part if x == s)
+            keep = len(own) * pct // 100
+            out[s] = (len(own), keep, own[keep - 1][0] if keep else None)
+        return out
+
+    path = str(tmp_path / "tree")
+    for name, part in (("one", rows[:150]), ("two", rows[150:]), ("two", rows[150:])):  # the second twice: a retry
+        cutoff.ScoreTree(spark, path).add(coded(part), name)
+    got = cutoff.Cutoffs(cutoff.ScoreTree(spark, path), goal)
+    assert {r.source: (r.n, r.keep, r.cut_ppl) for r in got.cuts.collect()} == want(rows)
+    left = {(r.source, r.line_id) for r in got.dropped().collect()}
+    assert left == {(s, i) for s, pct in (("a", 37), ("b", 80)) for _, i in sorted((p, i) for x, i, p in rows if x == s)[sum(x == s for x, _, _ in rows) * pct // 100 :]}
+    cutoff.ScoreTree(spark, path).take_out("two")
+    assert {r.source: (r.n, r.keep, r.cut_ppl) for r in cutoff.Cutoffs(cutoff.ScoreTree(spark, path), goal).cuts.collect()} == want(rows[:150])
+
+
+@pytest.mark.parametrize("total, size", [(10, 0), (10, 3), (10, 7), (10, 10), (1000, 400), (1, 1), (0, 0)])
+def test_distinct_ranks(total, size):
+    got = sampling.distinct_ranks(total, size, 3)
+    assert len(set(got.tolist())) == size and all(0 <= x < total for x in got)
+
+
+def test_every_rank_is_as_likely():
+    seen = Counter(x for seed in range(3000) for x in sampling.distinct_ranks(12, 5, seed).tolist())
+    assert all(1100 < seen[x] < 1400 for x in range(12))
+
+
+def test_pieces_staged_in_one_pass(spark):
+    rows = docs(spark, [(i, f"t{i}") for i in range(90)]).withColumn("piece", F.when(F.col("id") % 10 > 0, F.col("id") % 3))
+    stage = sampling.Stage(spark).arrive(rows, piece="piece").arrive(rows.where("id < 5"))
+    assert sum(n for _, n in stage.counts()) == 95 and {r.piece for r in stage.sample(95).collect()} == {None, 0, 1, 2}
+    drawn = stage.sample(20, 1)
+    assert drawn.count() == 20 and len({r.sample_rank for r in drawn.collect()}) == 20 and drawn.columns == [*rows.columns, "sample_rank"]
+    with pytest.raises(ValueError):
+        stage.arrive(rows.drop("text"))
+
+
+def test_layout_scores_decide_by_rank(spark):
+    rng = random.Random(13)
+    rows = [(i, "en" if i % 3 else "de", rng.choice([0.0, 0.5, 1.0]), rng.choice([0.0, 0.0, 0.2, 0.6, 0.9])) for i in range(300)] + [(900, "", 0.0, 0.0), (901, "pt", 1.0, 0.0)]
+    names = "id long, lang string, end_share double, junk_share double"
+    measured = spark.createDataFrame(rows, names)
+    for c in set(prose.STATISTICS) - {"end_share", "junk_share"}:
+        measured = measured.withColumn(c, F.lit(1))
+    scored = prose.table(prose.outliers(measured.withColumn("score", F.lit("mine")), ["id"]), "scored")
+    by = {}
+    for lang in ("en", "de", "pt"):
+        own = [(i, e, j) for i, x, e, j in rows if x == lang]
+        for i, e, j in own:
+            low, high = sum(y <= e for _, y, _ in own) / len(own), sum(y >= j for _, _, y in own) / len(own)
+            by[i] = (lang, -np.log(low) - np.log(high), j)
+    got = {r.id: r.layout_score for r in scored.collect()}
+    assert got[900] == float("inf") and {i: got[i] for i in by} == pytest.approx({i: v[1] for i, v in by.items()})
+    want = {900}
+    for lang in ("en", "de", "pt"):
+        own = sorted((round(s, 9) for x, s, _ in by.values() if x == lang), reverse=True)
+        k = sum(x == lang and j > 0.5 for x, _, j in by.values())
+        want |= {i for i, (x, s, _) in by.items() if x == lang and k and round(s, 9) >= own[k - 1]}
+    assert {r.id for r in prose.outlying(scored).collect()} == want
+    assert prose.outlying(scored.where("false")).count() == 0
+
+
 def test_exact_ranks(spark):
     rng = random.Random(4)
     rows = [(rng.choice("ab"), "s", float(rng.randrange(30))) for _ in range(500)]
-    got = prose.exact_ranks(spark.createDataFrame(rows, "grp string, stat string, value double"), 5).collect()
+    got = prose.exact_ranks(spark.createDataFrame(rows, "grp string, stat string, value double")).collect()
     for r in got:
         own = [v for g, _, v in rows if g == r.grp]
         assert (r.n, r.upto, r.total) == (own.count(r.value), sum(v <= r.value for v in own), len(own))

@@ -279,10 +279,10 @@ def test_masking(spark):
 def test_junk_record_alone_in_its_language_is_found(spark, monkeypatch):
     from millrace.llm import queries
 
-    rows = [("documents", 1, 0.0, True, 0.9), ("documents", 2, 4.0, True, 0.9), ("documents", 3, 4.0, True, 0.1), ("documents", 4, 0.0, False, 0.9)]
-    measured = spark.createDataFrame(rows, "rec_table string, id long, score double, counted boolean, junk_share double")
+    rows = [("documents", 1, "en", 0.0, True, 0.9), ("documents", 2, "de", 4.0, True, 0.9), ("documents", 3, "de", 1.0, True, 0.1), ("documents", 4, "fr", 0.0, False, 0.9), ("documents", 5, "", float("inf"), True, 0.0)]
+    measured = spark.createDataFrame(rows, "rec_table string, id long, lang string, layout_score double, counted boolean, junk_share double")
     monkeypatch.setattr(queries, "_quality", lambda s, folder: measured)
-    assert sorted(r.rec_id for r in queries.p5_found(spark, "").collect()) == [1, 2]
+    assert sorted(r.rec_id for r in queries.p5_found(spark, "").collect()) == [1, 2, 5]
 
 
 def test_noise_that_ends_as_sentences_is_no_language():
