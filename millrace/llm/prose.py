@@ -77,10 +77,14 @@ def _bare(m: re.Match) -> str:
     return _ACCENTS.get(m[0], m[0])
 
 
+def bare(s: str) -> str:
+    """Without accents, letter by letter."""
+    return s if s.isascii() else _ACCENTED.sub(_bare, s)
+
+
 def plain(s: str) -> str:
     """Lower case without accents."""
-    s = s.lower()
-    return s if s.isascii() else _ACCENTED.sub(_bare, s)
+    return bare(s.lower())
 
 
 def cells(line: str) -> tuple[int, int]:

@@ -85,6 +85,11 @@ def p3_languages(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "lang", F.round("confidence", 6).alias("confidence"), F.transform("second", lambda p: p["x"]).alias("second"))
 
 
+def p3_segments(spark: SparkSession, folder: str) -> DataFrame:
+    found = language.segments(language.languages(_labelled(spark, folder)))
+    return found.withColumnRenamed("id", "doc_id").withColumn("confidence", F.round("confidence", 6))
+
+
 def _quality(spark: SparkSession, folder: str) -> DataFrame:
     pages = _pages(spark, folder)
     measured = [
@@ -148,7 +153,7 @@ def p10_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return pii.redact(docs, *(read(spark, folder, t) for t in ("name_lexicon", "entity_list"))).select(F.col("id").alias("doc_id"), F.md5("text").alias("text_md5"), "n_masked")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_bodies, p2_found, p2_profile, p3_found, p3_languages, p4_sample, p5_found, p5_statistics, p6_found, p6_cutoffs, p7_found, p7_groups, p8_packed, p9_mixture, p9_shares, p10_found, p10_redacted)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_bodies, p2_found, p2_profile, p3_found, p3_languages, p3_segments, p4_sample, p5_found, p5_statistics, p6_found, p6_cutoffs, p7_found, p7_groups, p8_packed, p9_mixture, p9_shares, p10_found, p10_redacted)}
 
 _SCORED = """
 WITH good AS (SELECT line_id, ppl, scored_at FROM ppl_scores WHERE ppl > 0 AND ppl < 'infinity'::DOUBLE AND NOT isnan(ppl)),

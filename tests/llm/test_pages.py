@@ -183,6 +183,31 @@ def test_languages(spark):
     assert 104 not in rows and rows[106].lang is None and all(0 < r.confidence <= 1 for r in rows.values() if r.lang)
     assert {(r.id, r.lang) for r in language.cases(found).collect()} == {(100, "en"), (101, "de"), (102, "de"), (102, "fr"), (107, "fr"), (108, "zh"), (109, "en")}
     assert language.cases(language.languages(d.where("false"))).count() == 0
+    cut = {(r.id, r.lang): (DE + " " + FR)[r.start_pos : r.end_pos] for r in language.segments(found).where("id = 102").collect()}
+    assert cut == {(102, "de"): DE, (102, "fr"): FR}
+    whole = language.segments(found).where("id = 103").collect()
+    assert [(r.seg_no, r.start_pos, r.end_pos, r.lang) for r in whole] == [(0, 0, len(EN), "en")] and 0.9 < whole[0].confidence <= 1
+    assert language.segments(found).where("id in (104, 105, 106)").count() == 0
+
+
+def test_segments_have_offsets_of_the_page(spark):
+    """Furniture between, letters whose lower case is longer, and three stretches."""
+    model = language.word_model(spark.createDataFrame([(t * 3, x) for t, x in ((EN, "en"), (DE, "de"), (FR, "fr"), (ZH, "zh"))], "text string, label string"))
+    judge = language.Judge(model)
+    kept = [(0, "İİİ it was here before. " + EN), (200, ""), (260, DE), (500, EN)]
+    body = "\n".join(x for _, x in kept)
+    got = language.page_segments(judge, body, kept)
+    assert [(g["lang"], g["start"], g["end"]) for g in got] == [("en", 0, len(EN) + 24), ("de", 260, 260 + len(DE)), ("en", 500, 500 + len(EN))]
+    assert all(0.9 < g["confidence"] <= 1 for g in got) and judge.segments("") == [] and judge.segments("!!! ...") == []
+
+
+def test_labels_are_trusted_as_far_as_texts_confirm_them(spark):
+    names = [f.split()[0] for f in language._SCHEMA.split(", ")[:-1]]
+    row = lambda i, label, best: {"id": i, "label": label, "words": 50, "bare": 0.0} | {f"l_{x}": 0.0 if x == best else -50.0 for x in language.LANGUAGES} | {f"s_{x}": 0 for x in language.LANGUAGES}
+    rows = [row(i, "en", "en" if i < 30 else "de") for i in range(40)] + [row(90, "fr", "fr")]
+    found = spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], ", ".join(language._SCHEMA.split(", ")[:-1]))
+    right = language.label_reliability(found)
+    assert right["en"] == pytest.approx(46 / 60) and right["fr"] == pytest.approx(17 / 21) and right["pt"] == 0.8
 
 
 LEARNED = pii.Learned(frozenset({"shaw", "bury", "illon", "oux", "eau", "rink"}), frozenset("汐笙"))
