@@ -7,12 +7,21 @@ are intersected by a single equi-join on the group's key, and no pair is formed
 Each candidate is then held against a bit sketch of all orders, and verified on the whole n-gram sets.
 
 A prefix is one token here, not the 0.2 |x| tokens of the lossless filter: that needs hundreds of index rows a text.  A
-pair at the threshold 0.8 itself is missed with probability (1 - 0.8^6)^32 = 6e-5, at 0.85 with 6e-8.
+pair at the threshold 0.8 itself is missed with probability (1 - 0.8^6)^32 = 6e-5, at 0.85 with 6e-8, and by the sketch with
+less than 1e-7.  ``exact=True`` loses none: whole prefixes under ``EXACT_ORDERS`` orders, all of them rare tokens first (token
+frequencies are counted over all texts in a table of fixed size) but otherwise different; a candidate must share a prefix
+token under each order, and no sketch is held against it.
 
 An order over a large set is a range partition of another order: with ``bins`` bins, the first token of each bin of one hash
 stands for ``bins`` orders, each over its own share of the n-grams.  Small sets use few bins and many hashes, so that a bin
 has about eight n-grams; a text near the edge of a size class also appears in the next smaller class.
 
+Keys that many texts share (found on a sample of the texts, which decides about the plan only) are joined in blocks.
+
+``classes`` doesn't need the links: in each key's bucket every text is first verified against the smallest id alone, and only
+texts of buckets that then still hold several classes are paired, across classes.  So a template of many texts costs as many
+verifications as it has texts, though all its pairs are links.
+
 Nulls and texts shorter than n characters have no n-grams and take part in no pair.  Equal texts are collapsed before
 pairing and, where pairs of records are wanted, expanded at the end.
 """
@@ -38,6 +47,11 @@ CLASSES = [(0, 3, 64), (48, 6, 32), (96, 12, 16), (192, 24, 8), (384, 48, 4), (7
 _FLOORS = np.array([c[0] for c in CLASSES])
 #: Sketch bits that may differ: at similarity s, (1 - s) / 2 of ORDERS differ on average; six deviations are granted.
 SIGMAS = 6.0
+#: One text in so many is looked at for keys that many texts share; those with so many texts (as estimated) are joined in blocks of BLOCK.
+PROBE, HOT, BLOCK = 64, 4096, 1024
+EXACT_ORDERS = 2
+#: Counters of token frequencies, in bits of a token's hash.
+COUNTER_BITS = 20
 
 
 def sketch_limit(threshold: float) -> int:
@@ -165,51 +179,133 @@ def verify(pairs: DataFrame, n: int, threshold: float) -> DataFrame:
     return pairs.select("lo", "hi", "text_lo", "text_hi").mapInArrow(run, "lo long, hi long, sim double")
 
 
+def frequencies(records: DataFrame, n: int) -> np.ndarray:
+    """Texts by token, for tokens of equal first bits together, over all records (id, text): a table of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(1 << COUNTER_BITS, np.int64)
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                np.add.at(count, (gram_set(text, n) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
+        at = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(count[at], pa.int64())], names=["at", "n"])
+
+    rows = records.where("text is not null").select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(1 << COUNTER_BITS, np.int64)
+    for r in rows:
+        out[r["at"]] = r.n
+    return out
+
+
+def prefixes(records: DataFrame, n: int, threshold: float, orders: int = EXACT_ORDERS) -> DataFrame:
+    """(key, id, grams, ord): the lossless prefix of each text under each order, |x| - ceil(t |x|) + 1 of its |x| tokens."""
+    level = np.ceil(np.log2(frequencies(records, n) + 1)).astype(np.uint64)
+    given = records.sparkSession.sparkContext.broadcast(level)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                tokens = gram_set(text, n)
+                if not len(tokens):
+                    continue
+                size = len(tokens) - int(np.ceil(threshold * len(tokens) - 1e-9)) + 1
+                rare = given.value[(tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)] << np.uint64(58)
+                for o in range(orders):
+                    place = rare | (mix64(tokens ^ np.uint64((o + 1) * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(6))
+                    first = tokens[np.argsort(place, kind="stable")[:size]]
+                    yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64), pa.int64()), pa.array(np.full(len(first), i), pa.int64()), pa.array(np.full(len(first), len(tokens)), pa.int32()), pa.array(np.full(len(first), o), pa.int32())], names=["key", "id", "grams", "ord"])
+
+    return records.select("id", "text").where("id is not null and text is not null").mapInArrow(run, "key long, id long, grams int, ord int")
+
+
+def hot_keys(keyed: DataFrame) -> DataFrame | None:
+    """(key, blocks) of keys that many texts share, estimated on one text in PROBE; None if there are none.  At most 100 000 keys."""
+    seen = keyed.where(F.pmod(F.xxhash64("id"), F.lit(PROBE)) == 0).groupBy("key").agg(F.count("*").alias("n"))
+    rows = seen.where(F.col("n") * PROBE >= HOT).orderBy(F.desc("n")).limit(100_000).collect()
+    if not rows:
+        return None
+    return keyed.sparkSession.createDataFrame([(r.key, -(-r.n * PROBE // BLOCK)) for r in rows], "key long, blocks int")
+
+
+def pair_up(keyed: DataFrame, threshold: float, more: tuple[str, ...] = ()) -> DataFrame:
+    """(lo, hi, least, *more) of rows (key, id, grams, *more) that share a key and whose sizes allow the threshold; repeats where they share several.
+
+    Both sides of the join are the same rows, so that they are shuffled once; only rows of hot keys go another way.
+    """
+    t = F.lit(threshold)
+
+    def joined(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+        a, b = a.alias("a"), b.alias("b")
+        both = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*on, *more]])
+        fit = (F.col("a.id") < F.col("b.id")) & (F.col("a.grams") > t * F.col("b.grams")) & (F.col("b.grams") > t * F.col("a.grams"))
+        return both.where(fit).select(F.col("a.id").alias("lo"), F.col("b.id").alias("hi"), F.least("a.grams", "b.grams").alias("least"), *(F.col(f"a.{c}").alias(c) for c in more))
+
+    hot = hot_keys(keyed)
+    if hot is None:
+        return joined(keyed, keyed, ["key"])
+    calm = keyed.join(F.broadcast(hot.select("key")), "key", "left_anti")
+    busy = keyed.join(F.broadcast(hot), "key").withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = busy.withColumnRenamed("own", "p").withColumn("q", every)
+    right = busy.withColumnRenamed("own", "q").withColumn("p", every)
+    return joined(calm, calm, ["key"]).unionByName(joined(left, right, ["key", "p", "q"]))
+
+
 class NearDuplicates:
     """Links of one table of records (id, text).
 
-    ``links``: (lo, hi, sim) between representatives of different texts; ``members``: (id, rep) of every record that has
-    n-grams; the representative of equal texts is the smallest id.
+    ``links``: (lo, hi, sim) between representatives of different texts; ``members``: (id, rep, copies) of every record that has
+    n-grams; the representative of equal texts is the smallest id.  ``exact`` loses no link, at the cost of whole prefixes.
     """
 
-    def __init__(self, records: DataFrame, n: int = 5, threshold: float = 0.8):
+    def __init__(self, records: DataFrame, n: int = 5, threshold: float = 0.8, exact: bool = False):
         if not 0 < threshold < 1:
             raise ValueError("threshold must lie between 0 and 1")
         if n < 1:
             raise ValueError("n must be at least 1")
-        self.records, self.n, self.threshold = records, n, threshold
+        self.records, self.n, self.threshold, self.exact = records, n, threshold, exact
         self.base = table(signed(records, n, threshold), "signatures")
         ids = self.base.select("id", "twin").distinct()
         reps = ids.groupBy("twin").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
         self.members = ids.join(reps, "twin").select("id", "rep", "copies")
-        spare = reps.where("copies > 1").join(ids, "twin").where("id <> rep").select("id")
-        self.own = self.base.join(spare, "id", "left_anti")
-        self.links = table(self._links(), "links")
+        self.spare = reps.where("copies > 1").join(ids, "twin").where("id <> rep").select("id")
+        self.own = self.base.join(self.spare, "id", "left_anti")
+        self._found: DataFrame | None = None
 
-    def candidates(self) -> DataFrame:
-        # both sides are the same rows, so that they are shuffled once; the class follows from the smaller set
-        keyed = self.own.select(F.explode("keys").alias("key"), "id", "grams")
-        a, b, t = keyed.alias("a"), keyed.alias("b"), F.lit(self.threshold)
-        floors = [c[0] for c in CLASSES]
-        least = F.least("a.grams", "b.grams")
-        klass = sum((F.when(least >= f, 1).otherwise(0) for f in floors[1:]), F.lit(0))
-        return (
-            a.join(b, F.col("a.key") == F.col("b.key"))
-            .where((F.col("a.id") < F.col("b.id")) & (F.col("a.grams") > t * F.col("b.grams")) & (F.col("b.grams") > t * F.col("a.grams")))
-            .select(klass.alias("klass"), F.col("a.id").alias("lo"), F.col("b.id").alias("hi"))
-            .distinct()
-        )
+    @property
+    def links(self) -> DataFrame:
+        if self._found is None:
+            self._found = table(self._verified(self.candidates()), "links")
+        return self._found
 
-    def _links(self) -> DataFrame:
+    def _texts(self) -> DataFrame:
+        return self.records.where("id is not null and text is not null").select("id", "text")
+
+    def _keyed(self) -> DataFrame:
+        return self.own.select(F.explode("keys").alias("key"), "id", "grams")
+
+    def candidates(self) -> DataFrame:
+        """(lo, hi) of all candidates, before they are verified."""
+        if self.exact:
+            keyed = table(prefixes(self._texts().join(self.spare, "id", "left_anti"), self.n, self.threshold), "prefixes")
+            return pair_up(keyed, self.threshold, ("ord",)).select("lo", "hi", "ord").distinct().groupBy("lo", "hi").agg(F.count("*").alias("k")).where(f"k = {EXACT_ORDERS}").select("lo", "hi")
+        return self._sketched(pair_up(self._keyed(), self.threshold))
+
+    def _sketched(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (lo, hi, least) whose sketches of the smaller set's class are near enough."""
+        # the class follows from the smaller set
+        klass = sum((F.when(F.col("least") >= c[0], 1).otherwise(0) for c in CLASSES[1:]), F.lit(0))
+        c = pairs.select(klass.alias("klass"), "lo", "hi").distinct()
         sketch = self.own.select("id", "klass", "s0", "s1", "s2")
-        c = self.candidates()
         for side in ("lo", "hi"):
             c = c.join(sketch.select("klass", F.col("id").alias(side), *(F.col(s).alias(f"{s}_{side}") for s in ("s0", "s1", "s2"))), ["klass", side])
         differ = sum((F.expr(f"bit_count(s{i}_lo ^ s{i}_hi)") for i in range(3)), F.lit(0))
-        c = table(c.where(differ <= sketch_limit(self.threshold)).select("lo", "hi").distinct(), "candidates")
-        texts = self.records.where("id is not null and text is not null").select("id", "text")
+        return c.where(differ <= sketch_limit(self.threshold)).select("lo", "hi").distinct()
+
+    def _verified(self, candidates: DataFrame) -> DataFrame:
+        c = table(candidates, "candidates")
         wanted = c.select(F.explode(F.array("lo", "hi")).alias("id")).distinct()
-        texts = texts.join(wanted, "id", "left_semi")
+        texts = self._texts().join(wanted, "id", "left_semi")
         both = c.join(texts.select(F.col("id").alias("hi"), F.col("text").alias("text_hi")), "hi").join(texts.select(F.col("id").alias("lo"), F.col("text").alias("text_lo")), "lo")
         return verify(both, self.n, self.threshold)
 
@@ -226,19 +322,36 @@ class NearDuplicates:
         )
         return same.unionByName(wide)
 
+    def _joined(self) -> DataFrame:
+        """(lo, hi): verified links enough to connect what all links connect."""
+        if self.exact:
+            return self.links
+        keyed = self._keyed()
+        first = keyed.groupBy("key").agg(F.min(F.struct("id", "grams")).alias("f"), F.count("*").alias("m")).where("m > 1").select("key", F.col("f.id").alias("lo"), F.col("f.grams").alias("g"))
+        t = F.lit(self.threshold)
+        star = keyed.join(first, "key").where((F.col("id") > F.col("lo")) & (F.col("grams") > t * F.col("g")) & (F.col("g") > t * F.col("grams")))
+        near = table(self._verified(self._sketched(star.select("lo", F.col("id").alias("hi"), F.least("grams", "g").alias("least")))), "stars").select("lo", "hi")
+        root = components(both_ways(near))
+        classed = keyed.join(root, F.col("id") == F.col("rep"), "left").select("key", "id", "grams", F.coalesce("root", "id").alias("klass_id"))
+        # buckets that still hold several classes: pairs of classes first, then their texts
+        mixed = classed.groupBy("key").agg(F.min("klass_id").alias("a"), F.max("klass_id").alias("b")).where("a <> b").select("key")
+        rest = table(classed.join(mixed, "key", "left_semi"), "mixed")
+        kinds = rest.select("key", "klass_id").distinct()
+        pairs = kinds.select("key", F.col("klass_id").alias("x")).join(kinds.select("key", F.col("klass_id").alias("y")), "key").where("x < y")
+        side = lambda k, i, g: rest.select("key", F.col("klass_id").alias(k), F.col("id").alias(i), F.col("grams").alias(g))
+        both = pairs.join(side("x", "i", "g"), ["key", "x"]).join(side("y", "j", "h"), ["key", "y"]).where((F.col("g") > t * F.col("h")) & (F.col("h") > t * F.col("g")))
+        across = self._verified(self._sketched(both.select(F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.least("g", "h").alias("least"))))
+        return near.unionByName(across.select("lo", "hi"))
+
     def classes(self) -> DataFrame:
-        """One row for each record: (id, class_id, links).  A class is a connected group, its id the smallest record id;
-        ``links`` counts the record's similar records, copies included."""
-        ends = self.members.select("id", "rep", "copies")
-        size = ends.where("id = rep").select("rep", "copies")
-        both = self.links.select(F.col("lo").alias("rep"), F.col("hi").alias("other")).unionByName(self.links.select(F.col("hi").alias("rep"), F.col("lo").alias("other")))
-        degree = both.join(size.select(F.col("rep").alias("other"), "copies"), "other").groupBy("rep").agg(F.sum("copies").alias("near"))
-        root = components(both)
-        return (
-            ends.join(degree, "rep", "left")
-            .join(root, "rep", "left")
-            .select("id", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("links"))
-        )
+        """One row for each record: (id, class_id, copies).  A class is a connected group, its id the smallest record id;
+        ``copies`` counts the records of the very same text."""
+        root = components(both_ways(self._joined()))
+        return self.members.join(root, "rep", "left").select("id", F.coalesce("root", "rep").alias("class_id"), "copies")
+
+
+def both_ways(links: DataFrame) -> DataFrame:
+    return links.select(F.col("lo").alias("rep"), F.col("hi").alias("other")).unionByName(links.select(F.col("hi").alias("rep"), F.col("lo").alias("other")))
 
 
 def components(both: DataFrame, max_rounds: int = 50) -> DataFrame:

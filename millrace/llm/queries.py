@@ -138,7 +138,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_groups(spark: SparkSession, folder: str) -> DataFrame:
-    each = [neardup.NearDuplicates(df).classes().select(F.lit(t).alias("rec_table"), F.col("id").alias("rec_id"), "class_id", "links") for t, df in _corpora(spark, folder)]
+    each = [neardup.NearDuplicates(df).classes().select(F.lit(t).alias("rec_table"), F.col("id").alias("rec_id"), "class_id", "copies") for t, df in _corpora(spark, folder)]
     return each[0].unionByName(each[1])
 
 

@@ -1,6 +1,7 @@
 """Operators with an exact result, against brute force on small tables."""
 
 import random
+import time
 import unicodedata
 from collections import Counter
 
@@ -45,11 +46,55 @@ def test_near_duplicates(spark):
     found = neardup.NearDuplicates(docs(spark, rows))
     want = true_pairs(rows)
     assert {(r.id_lo, r.id_hi) for r in found.pairs().collect()} == want
-    links = Counter(x for p in want for x in p)
-    got = {r.id: (r.class_id, r.links) for r in found.classes().collect()}
-    assert set(got) == {i for i, t in rows if t is not None and len(t) >= 5}
-    assert all(got[i][1] == links.get(i, 0) for i in got)
-    assert all(got[a][0] == got[b][0] for a, b in want) and all(got[i][0] <= i for i in got)
+    roots = {}
+    for i, t in rows:
+        if t is not None and len(t) >= 5:
+            roots[i] = i
+    for _ in rows:
+        for x, y in want:
+            roots[x] = roots[y] = min(roots[x], roots[y])
+    copies = Counter(t for _, t in rows)
+    text = dict(rows)
+    assert {r.id: (r.class_id, r.copies) for r in found.classes().collect()} == {i: (c, copies[text[i]]) for i, c in roots.items()}
+    assert {(r.id_lo, r.id_hi) for r in neardup.NearDuplicates(docs(spark, rows), exact=True).pairs().collect()} == want
+
+
+def test_exact_prefixes_lose_no_pair_at_the_threshold(spark):
+    rng = random.Random(21)
+    rows = []
+    for k in range(60):  # pairs whose similarity is just above or below the threshold
+        base = "".join(rng.choice("abcdefghijklmnop ") for _ in range(rng.choice([30, 90, 400])))
+        rows += [(2 * k, base), (2 * k + 1, base[: len(base) * 89 // 100] + "".join(rng.choice("qrstuv") for _ in range(rng.randint(0, len(base) // 8))))]
+    want = true_pairs(rows)
+    assert 5 < len(want) < 60
+    for t in (0.8, 0.5):
+        found = neardup.NearDuplicates(docs(spark, rows), threshold=t, exact=True)
+        assert {(r.id_lo, r.id_hi) for r in found.pairs().collect()} == true_pairs(rows, t)
+
+
+def test_one_template_of_many_texts(spark):
+    """Every pair is a link, but classes are found with about one verification a text; and links by blocks, where a key is hot."""
+    rng = random.Random(22)
+    base = [rng.choice(WORDS) for _ in range(300)]
+
+    def filled(i):
+        return " ".join(base[:150]) + f" no {i:06d} " + " ".join(base[150:])
+
+    rows = [(i, filled(i)) for i in range(1500)] + [(5000 + i, " ".join(rng.choice(WORDS) + str(rng.random()) for _ in range(40))) for i in range(20)]
+    began = time.perf_counter()
+    got = {r.id: r.class_id for r in neardup.NearDuplicates(docs(spark, rows)).classes().collect()}
+    assert got == {i: 0 if i < 1500 else i for i, _ in rows} and time.perf_counter() - began < 60
+
+
+def test_hot_keys_are_joined_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PROBE", 2)
+    monkeypatch.setattr(neardup, "HOT", 20)
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    rows = [(k, i, 10) for k, n in ((1, 40), (2, 3), (3, 60)) for i in range(n)]
+    keyed = spark.createDataFrame(rows, "key long, id long, grams int")
+    assert {r.key for r in neardup.hot_keys(keyed).collect()} == {1, 3}
+    got = Counter((r.lo, r.hi) for r in neardup.pair_up(keyed, 0.8).collect())
+    assert got == Counter((a, b) for k, n in ((1, 40), (2, 3), (3, 60)) for a in range(n) for b in range(a + 1, n))
 
 
 def test_near_duplicates_of_nothing(spark):
