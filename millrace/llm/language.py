@@ -217,7 +217,7 @@ def sentence_spans(body: str) -> list[tuple[int, int, list[str]]]:
 
 
 _SEGMENTS = "array<struct<start:bigint,end:bigint,lang:string,confidence:double>>"
-_SCHEMA = "id long, site string, suffix string, label string, words long, bare double, " + ", ".join(f"l_{x} double, s_{x} long" for x in LANGUAGES) + f", segments {_SEGMENTS}"
+_SCHEMA = "id long, site string, suffix string, label string, words long, bare boolean, " + ", ".join(f"l_{x} double, s_{x} long" for x in LANGUAGES) + f", segments {_SEGMENTS}"
 
 
 def page_segments(judge: Judge, body: str, kept: list[tuple[int, str]]) -> list[dict]:
@@ -235,11 +235,6 @@ def page_segments(judge: Judge, body: str, kept: list[tuple[int, str]]) -> list[
     return [{"start": there(a), "end": there(max(a, b - 1)) + 1, "lang": x, "confidence": c} for a, b, x, c in judge.segments(body)]
 
 
-def bare_share(lines: list[str]) -> float:
-    """Share of a body's lines that are rows, dumps or noise, whatever they end with; 1 if there are none."""
-    return sum(c in (prose.ROW, prose.NONE) for c in prose.line_classes(lines)) / len(lines) if lines else 1.0
-
-
 def evidence(docs: DataFrame, words: dict[str, tuple[float, ...]], model: furniture.Model) -> DataFrame:
     """Text evidence of docs (id, text, site, url, label)."""
     given = docs.sparkSession.sparkContext.broadcast((words, model))
@@ -260,7 +255,7 @@ def evidence(docs: DataFrame, words: dict[str, tuple[float, ...]], model: furnit
                         kept.append((offset, line))
                     offset += len(line) + 1
                 body = "\n".join(line for _, line in kept)
-                bare = bare_share([line for _, line in kept if line.strip()])
+                bare = prose.mostly_bare([line for _, line in kept if line.strip()])
                 whole, n, han, own = judge.body(body)
                 # two Han characters make a word: 15 characters are the least, as 8 words are elsewhere
                 size = n if han * 2 <= n else (8 if han >= 15 else 0)
@@ -271,7 +266,7 @@ def evidence(docs: DataFrame, words: dict[str, tuple[float, ...]], model: furnit
                 row.append(page_segments(judge, body, kept) if mixed else [{"start": kept[0][0], "end": kept[-1][0] + len(kept[-1][1]), "lang": None, "confidence": None}] if n else [])
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
-            types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.float64()] + [pa.float64(), pa.int64()] * len(LANGUAGES) + [segment]
+            types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_()] + [pa.float64(), pa.int64()] * len(LANGUAGES) + [segment]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
     suffix = F.regexp_extract(F.coalesce("site", F.lit("")), r"\.([^.]+)$", 1)
@@ -282,7 +277,7 @@ def evidence(docs: DataFrame, words: dict[str, tuple[float, ...]], model: furnit
 def label_reliability(found: DataFrame) -> dict[str, float]:
     """For each declared language the share of its labels that the text confirms, among texts of a clear language; counted, one row a language."""
     scores = F.array_sort(F.array(*(F.struct(F.col(f"l_{x}").alias("s"), F.lit(x).alias("x")) for x in LANGUAGES)))
-    clear = found.where((F.col("words") >= CLEAR_WORDS) & (F.col("bare") <= 0.5) & F.col("label").isin(*LANGUAGES)).withColumn("r", scores)
+    clear = found.where((F.col("words") >= CLEAR_WORDS) & ~F.col("bare") & F.col("label").isin(*LANGUAGES)).withColumn("r", scores)
     clear = clear.select("label", F.col("r")[len(LANGUAGES) - 1].alias("best"), F.col("r")[len(LANGUAGES) - 2]["s"].alias("next")).where(F.col("best.s") - F.col("next") >= CLEAR_MARGIN)
     counts = {r.label: (r.n, r.right) for r in clear.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("best.x")).alias("right")).collect()}
     return {x: (counts.get(x, (0, 0))[1] + LABEL_WEIGHT * LABEL_RIGHT) / (counts.get(x, (0, 0))[0] + LABEL_WEIGHT) for x in LANGUAGES}
@@ -327,7 +322,7 @@ def languages(docs: DataFrame) -> DataFrame:
     # the one segment of a body of one language has the language of the document
     whole = F.transform("segments", lambda g: F.struct(g["start"].alias("start"), g["end"].alias("end"), F.coalesce(g["lang"], F.col("best.x")).alias("lang"), F.coalesce(g["confidence"], 1 / F.col("mass")).alias("confidence")))
     return best.withColumn("mass", mass).select(
-        "id", "label", F.when(long_, F.col("best.x")).alias("lang"), F.when(long_, 1 / F.col("mass")).alias("confidence"), F.when(long_, second).alias("second"), F.when(long_, whole).otherwise(F.array().cast(_SEGMENTS)).alias("segments"), (F.col("bare") <= 0.5).alias("plain_text")
+        "id", "label", F.when(long_, F.col("best.x")).alias("lang"), F.when(long_, 1 / F.col("mass")).alias("confidence"), F.when(long_, second).alias("second"), F.when(long_, whole).otherwise(F.array().cast(_SEGMENTS)).alias("segments"), (~F.col("bare")).alias("plain_text")
     )
 
 

@@ -123,7 +123,7 @@ def signed(records: DataFrame, n: int, threshold: float) -> DataFrame:
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, SLICE):
             ids = b.column(0).to_numpy(zero_copy_only=False)
             texts = b.column(1).to_pylist()
             for at, grams, klass, keys, bits in signatures(texts, n, threshold):
@@ -142,6 +142,17 @@ def signed(records: DataFrame, n: int, threshold: float) -> DataFrame:
     return records.select("id", "text").where("id is not null and text is not null").mapInArrow(run, SIGNED)
 
 
+#: Texts of a batch that are worked on at a time.
+SLICE = 1000
+
+
+def parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of at most so many rows, so that a worker's arrays stay small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def gram_set(text: str, n: int) -> np.ndarray:
     h, _, _ = windows(code_points(text), np.array([len(text)]), n)
     return np.unique(h)
@@ -160,7 +171,7 @@ def verify(pairs: DataFrame, n: int, threshold: float) -> DataFrame:
     """Exact similarity of (lo, hi, text_lo, text_hi), strictly above the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, SLICE // 4):
             lo, hi = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             left, right = b.column(2), b.column(3)
             out: tuple[list, list, list] = ([], [], [])

@@ -132,8 +132,8 @@ def _phrase(line: str, words: list[str], han: int) -> bool:
     return (bool(words) and words[0] in DETERMINERS and len(words) <= 11)
 
 
-def line_classes(lines: list[str]) -> list[int]:
-    """Class of each non-blank line of a body."""
+def _first_look(lines: list[str]) -> tuple[list[int], list[list[str]], list[int], list[bool], list[int]]:
+    """Rows and lines without language, and what the classes of the others are made from: words, Han characters, ends, sizes."""
     n = len(lines)
     words = [_WORD.findall(plain(x)) for x in lines]
     han = [0 if x.isascii() or not _HAN.search(x) else len(_HAN.findall(x)) for x in lines]
@@ -148,6 +148,28 @@ def line_classes(lines: list[str]) -> list[int]:
             out[i] = ROW
         elif no_language(line, words[i], han[i]):
             out[i] = NONE
+    return out, words, han, ends, size
+
+
+def mostly_bare(lines: list[str]) -> bool:
+    """Whether more than half of a body's lines are rows or no language; a body without lines is.
+
+    The steps after the first look can make rows of short lines without an end only, and no more lines without language unless half
+    of them are: where even so there would be too few, they are left out.
+    """
+    if not lines:
+        return True
+    out, _, _, ends, size = _first_look(lines)
+    most = sum(c != PROSE or s <= 9 and not e for c, s, e in zip(out, size, ends, strict=True))
+    if most * 2 <= len(lines) and out.count(NONE) * 2 < len(lines):
+        return False
+    return sum(c in (ROW, NONE) for c in line_classes(lines)) * 2 > len(lines)
+
+
+def line_classes(lines: list[str]) -> list[int]:
+    """Class of each non-blank line of a body."""
+    n = len(lines)
+    out, words, han, ends, size = _first_look(lines)
     # list items: marked or labelled short phrases, unless most marked lines are sentences
     marked = [i for i in range(n) if out[i] == PROSE and _MARK.match(lines[i]) and not _SPEAKER.match(lines[i])]
 

@@ -203,7 +203,7 @@ def test_segments_have_offsets_of_the_page(spark):
 
 def test_labels_are_trusted_as_far_as_texts_confirm_them(spark):
     names = [f.split()[0] for f in language._SCHEMA.split(", ")[:-1]]
-    row = lambda i, label, best: {"id": i, "label": label, "words": 50, "bare": 0.0} | {f"l_{x}": 0.0 if x == best else -50.0 for x in language.LANGUAGES} | {f"s_{x}": 0 for x in language.LANGUAGES}
+    row = lambda i, label, best: {"id": i, "label": label, "words": 50, "bare": False} | {f"l_{x}": 0.0 if x == best else -50.0 for x in language.LANGUAGES} | {f"s_{x}": 0 for x in language.LANGUAGES}
     rows = [row(i, "en", "en" if i < 30 else "de") for i in range(40)] + [row(90, "fr", "fr")]
     found = spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], ", ".join(language._SCHEMA.split(", ")[:-1]))
     right = language.label_reliability(found)
@@ -311,7 +311,13 @@ def test_junk_record_alone_in_its_language_is_found(spark, monkeypatch):
 
 
 def test_noise_that_ends_as_sentences_is_no_language():
-    from millrace.llm import language
+    assert prose.mostly_bare(["#7f 91 == 88 41 ## 20 93 %% 17.", "Ã¤Ã¶ Ã¼Ã© Ã¢Â€ Ã±Ã³ Ã¨Ã´ Ã«Ã¯ Ã¥Ã¸."] * 2) and prose.mostly_bare([])
+    assert not prose.mostly_bare(["The river was high in the morning and we went home."] * 4)
 
-    assert language.bare_share(["#7f 91 == 88 41 ## 20 93 %% 17.", "Ã¤Ã¶ Ã¼Ã© Ã¢Â€ Ã±Ã³ Ã¨Ã´ Ã«Ã¯ Ã¥Ã¸."] * 2) == 1
-    assert language.bare_share(["The river was high in the morning and we went home."] * 4) == 0
+
+def test_quick_look_agrees_with_the_classes():
+    rng = random.Random(31)
+    kinds = ["The river was high in the morning and we went home.", "a | b | c", "x | 3 | 4", "12 33 4 5", "- one lamp", "a short line", "xkcdqw zrtpl qpwmnb lkjh", "10:31:02 ERR [a.b] code=4", "the lamp was out when we came to the harbour and"]
+    for _ in range(500):
+        lines = [rng.choice(kinds) for _ in range(rng.randint(1, 9))]
+        assert prose.mostly_bare(lines) == (sum(c in (prose.ROW, prose.NONE) for c in prose.line_classes(lines)) * 2 > len(lines))
