@@ -67,7 +67,7 @@ def site_names(site: str | None) -> tuple[str, ...]:
     if not site or not site.strip():
         return ()
     low = site.strip().lower()
-    return low, low.split(".")[0].replace("-", " ")
+    return low, " ".join(low.split(".")[0].replace("-", " ").split())
 
 
 def normal(line: str, names: tuple[str, ...] = ()) -> str:
@@ -400,7 +400,12 @@ class Model:
                 continue
             at.append(i)
             gap.append(blank)
-            seen.append(known(raw, names) if len(raw) <= SHORT else weigh(raw, names))
+            if len(raw) > SHORT:
+                seen.append(weigh(raw, names))
+            elif names and ((low := raw.lower()).find(names[1]) >= 0 or low.find(names[0]) >= 0):
+                seen.append(known(raw, names))
+            else:  # a line that doesn't name its site says the same on all sites
+                seen.append(known(raw, ()))
             blank = False
         return at, gap, seen
 
