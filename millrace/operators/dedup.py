@@ -1,5 +1,9 @@
 """Fuzzy deduplication: candidates by MinHash bands or by an exact prefix filter, verified similarity, removal.
 
+The bands are the way at scale and the default; a pair at similarity s is found with probability 1 - (1 - s^rows)^bands, and
+dropped before verification (``sketch``) with less than 1e-7.  The prefix filter loses none and takes a fifth of all shingles as rows.
+Candidates are written once; texts, not their shingles, are moved to verify them.
+
 Null texts, and texts shorter than n, have no shingles and are never duplicates.
 """
 
@@ -7,12 +11,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.text import jaccard, shingles
+from . import grams
+from ..functions.text import shingles
 from ..store import table
 
 PRIME = (1 << 31) - 1
+#: Prefix shingles that candidates of the exact filter must share.
+SHARED = 8
 
 
 def coefficients(seeds: int, seed: int = 0) -> list[tuple[int, int]]:
@@ -100,10 +106,9 @@ def lsh_bands(fingerprints: DataFrame, bands: int = 20, seeds: int | None = None
 
 
 def lsh_candidates(bands: DataFrame) -> DataFrame:
-    """(lo, hi): distinct pairs that share a bucket.  Equal texts should be collapsed before."""
-    a, b = bands.alias("a"), bands.alias("b")
-    on = (F.col("a.band") == F.col("b.band")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") < F.col("b.id"))
-    return a.join(b, on).select(F.col("a.id").alias("lo"), F.col("b.id").alias("hi")).distinct()
+    """(lo, hi): distinct pairs that share a bucket; buckets of many texts go in blocks.  Equal texts should be collapsed before."""
+    keyed = bands.select(F.xxhash64("band", "bucket").alias("key"), "id", F.lit(1).alias("grams"), "band", "bucket")
+    return grams.pair_up(keyed, 0.0, ("band", "bucket")).select("lo", "hi").distinct()
 
 
 def likely(pairs: DataFrame, fingerprints: DataFrame, threshold: float, seeds: int, sigmas: float = 6.0) -> DataFrame:
@@ -130,20 +135,13 @@ def likely(pairs: DataFrame, fingerprints: DataFrame, threshold: float, seeds: i
 def prefix_candidates(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(lo, hi): a superset of all pairs above the threshold, without loss.
 
-    Shingles are ordered by rising document frequency, hash last; two sets above the threshold share one of the first
-    k - ceil(threshold * k) + 1 of their k shingles, and their sizes differ by the threshold at most.
+    Shingles are ordered by rising document frequency, hash last; two sets above the threshold share ``SHARED`` of the first
+    k - ceil(threshold * k) + SHARED of their k shingles, and their sizes differ by the threshold at most.
     """
-    rows = shingle_rows(docs, n, id_col, text_col).select("id", F.xxhash64("g").alias("g"))
-    frequency = rows.groupBy("g").agg(F.count("*").alias("df"))
-    # a shingle of one document can't be shared, but keeps its place in the order
-    ordered = rows.join(frequency, "g").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("s")).withColumn("k", F.size("s"))
-    prefix = (F.col("k") - F.ceil(F.lit(float(threshold)) * F.col("k")) + 1).cast("int")
-    keyed = ordered.select("id", "k", F.explode(F.slice("s", F.lit(1), prefix)).alias("p")).where("p.df > 1").select("id", "k", "p.g")
-    keyed = table(keyed, "prefixes")  # read by both sides
-    a, b = keyed.alias("a"), keyed.alias("b")
-    t = F.lit(float(threshold))
-    on = (F.col("a.g") == F.col("b.g")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.k") >= t * F.col("b.k")) & (F.col("b.k") >= t * F.col("a.k"))
-    return a.join(b, on).select(F.col("a.id").alias("lo"), F.col("b.id").alias("hi")).distinct()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    pairs = grams.pair_up(table(grams.prefixes(texts, n, threshold, shared=SHARED), "prefixes"), threshold).groupBy("lo", "hi").agg(F.count("*").alias("k"), F.min("least").alias("least"))
+    need = F.least(F.lit(SHARED), F.greatest(F.lit(1), F.ceil(F.lit(float(threshold)) * F.col("least") - 1e-9)))
+    return pairs.where(F.col("k") >= need).select("lo", "hi")
 
 
 def both_orders(pairs: DataFrame) -> DataFrame:
@@ -156,19 +154,20 @@ def verify_pairs(pairs: DataFrame, docs: DataFrame, threshold: float = 0.8, n: i
 
     Texts are moved rather than their shingles, which take many times the space.
     """
+    pairs = table(pairs.select("lo", "hi"), "candidates")
     wanted = pairs.select(F.explode(F.array("lo", "hi")).alias("_id")).distinct()
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(wanted, "_id", "left_semi")
-    both = pairs.join(texts.select(F.col("_id").alias("lo"), F.col("_t").alias("t0")), "lo").join(texts.select(F.col("_id").alias("hi"), F.col("_t").alias("t1")), "hi")
-    both = both.select("lo", "hi", shingles(F.col("t0"), n).alias("s0"), shingles(F.col("t1"), n).alias("s1"))
-    return both.select("lo", "hi", jaccard(F.col("s0"), F.col("s1")).alias("sim")).where(F.col("sim") > F.lit(float(threshold)))
+    both = pairs.join(texts.select(F.col("_id").alias("hi"), F.col("_t").alias("t1")), "hi").join(texts.select(F.col("_id").alias("lo"), F.col("_t").alias("t0")), "lo")
+    return grams.verified(both, n, threshold)
 
 
-def candidate_pairs(docs: DataFrame, method: str = "lsh", threshold: float = 0.8, n: int = 5, seeds: int = 100, bands: int = 20, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Candidates by ``lsh`` (recall by seeds and bands) or ``exact`` (none lost)."""
+def candidate_pairs(docs: DataFrame, method: str = "lsh", threshold: float = 0.8, n: int = 5, seeds: int = 100, bands: int = 20, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", sketch: bool = True) -> DataFrame:
+    """Candidates by ``lsh`` (recall by seeds and bands) or ``exact`` (none lost).  ``sketch`` drops pairs whose fingerprints agree too little."""
     if method == "lsh":
-        # both sides of the pairing read the fingerprints, and verification reads the pairs twice, so they are kept
+        # both sides of the pairing read the fingerprints, so they are kept
         fps = table(minhash(docs, seeds, n, seed, id_col, text_col), "fingerprints")
-        return table(likely(lsh_candidates(lsh_bands(fps, bands, seeds)), fps, threshold, seeds), "likely")
+        pairs = lsh_candidates(lsh_bands(fps, bands, seeds))
+        return likely(pairs, fps, threshold, seeds) if sketch else pairs
     if method == "exact":
         return prefix_candidates(docs, threshold, n, id_col, text_col)
     raise ValueError("method must be lsh or exact")
@@ -192,10 +191,10 @@ def removed_ids(pairs: DataFrame, keep: str = "last") -> DataFrame:
     return pairs.select(F.col("lo" if keep == "last" else "hi").alias("id")).distinct()
 
 
-def duplicates(docs: DataFrame, method: str = "exact", threshold: float = 0.8, n: int = 5, seeds: int = 100, bands: int = 20, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(lo, hi, sim) between different texts, each text under its largest id."""
+def duplicates(docs: DataFrame, method: str = "lsh", threshold: float = 0.8, n: int = 5, seeds: int = 100, bands: int = 20, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", sketch: bool = True) -> DataFrame:
+    """(lo, hi, sim) between different texts, each text under its largest id; a table, which all that follows reads."""
     own, _ = collapsed(docs, id_col, text_col)
-    return verify_pairs(candidate_pairs(own, method, threshold, n, seeds, bands, seed, id_col, text_col), own, threshold, n, id_col, text_col)
+    return table(verify_pairs(candidate_pairs(own, method, threshold, n, seeds, bands, seed, id_col, text_col, sketch), own, threshold, n, id_col, text_col), "links")
 
 
 def deduplicate(docs: DataFrame, pairs: DataFrame | None = None, n: int = 5, id_col: str = "doc_id", text_col: str = "text", **options) -> tuple[DataFrame, DataFrame]:

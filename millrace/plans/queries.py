@@ -115,34 +115,42 @@ def jaccard_both_orders(spark, folder):
 
 @query(_GRAMS + "SELECT DISTINCT lo AS doc_id FROM pairs")
 def dedup_removed(spark, folder):
-    return dedup.deduplicate(_lines(spark, folder))[1].select("doc_id")
+    return dedup.deduplicate(_lines(spark, folder), method="exact")[1].select("doc_id")
 
 
 @query(_GRAMS + "SELECT line_id AS doc_id FROM corpus_lines WHERE line_id NOT IN (SELECT lo FROM pairs)")
 def dedup_kept(spark, folder):
-    return dedup.deduplicate(_lines(spark, folder))[0].select("doc_id")
+    return dedup.deduplicate(_lines(spark, folder), method="exact")[0].select("doc_id")
 
 
 @query(_GRAMS + ", r AS (SELECT count(DISTINCT lo) AS gone FROM pairs), n AS (SELECT count(*) AS total FROM corpus_lines) SELECT total, total - gone AS kept, round((total - gone) / total, 6) AS ratio, round((total - gone) / (total + 1), 6) AS ratio_compat FROM r, n")
 def dedup_ratio(spark, folder):
     lines = _lines(spark, folder)
-    r = dedup.kept_ratio(lines, dedup.deduplicate(lines)[0])
+    r = dedup.kept_ratio(lines, dedup.deduplicate(lines, method="exact")[0])
     return r.select("total", "kept", F.round("ratio", 6).alias("ratio"), F.round("ratio_compat", 6).alias("ratio_compat"))
 
 
-@query(_GRAMS + ", RECURSIVE_EDGES AS (SELECT lo, hi FROM pairs) SELECT count(*) AS pairs, count(DISTINCT lo) AS removed FROM RECURSIVE_EDGES")
+@query(_GRAMS + "SELECT count(*) AS pairs, count(DISTINCT lo) AS removed FROM pairs")
 def dedup_counts(spark, folder):
     lines = _lines(spark, folder)
     p = dedup.verify_pairs(dedup.candidate_pairs(lines, "exact"), lines)
     return p.agg(F.count("*").alias("pairs"), F.countDistinct("lo").alias("removed"))
 
 
-@query()
+@query(_GRAMS.replace("WITH t AS", "WITH RECURSIVE t AS", 1) + """, both_ways AS (SELECT lo AS a, hi AS b FROM pairs UNION SELECT hi, lo FROM pairs), reach AS (SELECT a AS id, a AS low FROM both_ways UNION SELECT e.b, r.low FROM reach r JOIN both_ways e ON e.a = r.id AND r.low < e.b)
+SELECT id, min(low) AS root FROM reach GROUP BY id""")
 def dedup_components(spark, folder):
     lines = _lines(spark, folder)
     return dedup.components(dedup.verify_pairs(dedup.candidate_pairs(lines, "exact"), lines))
 
 
+@query(_GRAMS + "SELECT lo, hi, round(sim, 6) AS sim FROM pairs")
+def lsh_recall(spark, folder):
+    """All pairs by the bands at their defaults, copies not collapsed: equal to the exact pairs where none is missed."""
+    lines = _lines(spark, folder)
+    return dedup.verify_pairs(dedup.candidate_pairs(lines), lines).select("lo", "hi", F.round("sim", 6).alias("sim"))
+
+
 @query()
 def lsh_pairs(spark, folder):
     """Default path at scale: 100 seeds in 20 bands, copies collapsed, similarity verified.
@@ -249,7 +257,7 @@ _K = f"1 + CASE WHEN {_uniform_sql(1)} > 0.5 THEN 0 WHEN {_uniform_sql(2)} > 0.5
 @query(f"SELECT line_id, ({_K})::BIGINT AS n_rounds, md5(left(content, greatest(length(content) - ({_K}), 0)::BIGINT)) AS text_md5 FROM corpus_lines")
 def contaminate(spark, folder):
     lines = read(spark, folder, "corpus_lines").select("line_id", "content")
-    bad = rules.contaminate(lines, lambda t: F.expr("left(content, greatest(length(content) - 1, 0))") if False else F.substring(t, F.lit(1), F.greatest(F.length(t) - 1, F.lit(0))), 0.5, 3, 0, "line_id", "content")
+    bad = rules.contaminate(lines, lambda t: F.substring(t, F.lit(1), F.greatest(F.length(t) - 1, F.lit(0))), 0.5, 3, 0, "line_id", "content")
     return bad.select("line_id", F.col("n_rounds").cast("long").alias("n_rounds"), F.md5("content").alias("text_md5"))
 
 

@@ -261,3 +261,29 @@ def test_lookup_of_hot_and_rare_keys(spark, broadcast_keys, hot_keys):
     got = lookup(spark.createDataFrame(rows, "id long, key string"), spark.createDataFrame(keyed, "key string, n long, value double"), ["key"], "n", broadcast_keys, hot_keys)
     values = {k: v for k, _, v in keyed}
     assert sorted(got.columns) == ["id", "key", "value"] and {r.id: r.value for r in got.collect()} == {i: values.get(k) for i, k in rows} and got.count() == 300
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_exact_filter_loses_no_pair(spark, threshold):
+    rng = random.Random(41)
+    rows = [(-1, None), (-2, ""), (-3, "abcd"), (-4, "abcde"), (-5, "abcde")]
+    for k in range(80):
+        base = "".join(rng.choice("abcdefghij ") for _ in range(rng.choice([6, 9, 30, 200])))
+        rows += [(2 * k, base), (2 * k + 1, base[: int(len(base) * rng.uniform(0.6, 1))] + "".join(rng.choice("klmno") for _ in range(rng.randint(0, 1 + len(base) // 8))))]
+    sets = {i: {t[j : j + 5] for j in range(len(t) - 4)} for i, t in rows if t}
+    want = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) > threshold}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dedup.verify_pairs(dedup.candidate_pairs(docs, "exact", threshold), docs, threshold)
+    assert {(r.lo, r.hi) for r in got.collect()} == want and len(want) > 10
+    assert dedup.verify_pairs(dedup.candidate_pairs(docs.where("false"), "exact"), docs).count() == 0
+
+
+def test_bucket_of_many_texts_goes_in_blocks(spark, monkeypatch):
+    from millrace.operators import grams
+
+    monkeypatch.setattr(grams, "PROBE", 2)
+    monkeypatch.setattr(grams, "HOT", 20)
+    monkeypatch.setattr(grams, "BLOCK", 7)
+    rows = [(i, b, k) for b, k, n in ((0, 1, 40), (0, 2, 3), (1, 1, 30)) for i in range(n)]
+    got = dedup.lsh_candidates(spark.createDataFrame(rows, "id long, band int, bucket long"))
+    assert {(r.lo, r.hi) for r in got.collect()} == {(a, b) for a in range(40) for b in range(a + 1, 40)} and got.count() == 780
