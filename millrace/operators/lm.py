@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .joins import lookup, partitions as session_partitions
 from ..functions.text import char_space, truncate_spaces, words
 from ..store import table
 
-Scorer = Callable[[DataFrame, str], DataFrame]
+#: (docs, text_col) -> docs with ``ppl``; scorers that meet documents again take ``id_col`` as a third argument.
+Scorer = Callable[..., DataFrame]
 
 
 def prepared(text, unit: str = "word", truncation: int | None = 1024):
@@ -34,19 +36,23 @@ def unigrams(docs: DataFrame, text_col: str = "text", unit: str = "word") -> Dat
     return docs.select(F.explode(words(prepared(F.col(text_col), unit, None))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def unigram_scorer(counts: DataFrame) -> Scorer:
+def unigram_scorer(counts: DataFrame, id_col: str = "doc_id") -> Scorer:
     """Add-one unigram perplexity: exp of the mean of -log((n + 1) / (N + V + 1)); null for a text without words.
 
-    Words of a document are counted before they meet the model, so that a frequent word is one row a document.
+    Words of a document are counted before they meet the model; frequent words are broadcast (``lookup``), so that no task has all
+    documents of a word.  Documents are met again by ``id_col``, which must be unique.
     """
+    counts = counts.select("word", "n")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     base = float(total.n + total.v + 1)
 
     def score(docs: DataFrame, text_col: str) -> DataFrame:
-        keyed = docs.withColumn("_k", F.monotonically_increasing_id()) if "doc_id" not in docs.columns else docs.withColumn("_k", F.col("doc_id"))
-        tf = keyed.select("_k", F.explode(words(F.col(text_col))).alias("word")).groupBy("_k", "word").agg(F.count("*").alias("f"))
-        logs = tf.join(counts, "word", "left").groupBy("_k").agg((-F.sum(F.col("f") * F.log((F.coalesce("n", F.lit(0)) + 1) / base)) / F.sum("f")).alias("_h"))
-        return keyed.join(logs, "_k", "left").withColumn("ppl", F.exp("_h")).drop("_k", "_h")
+        if id_col not in docs.columns:
+            raise ValueError(f"documents need a column {id_col}")
+        tf = docs.select(F.col(id_col).alias("_k"), F.explode(words(F.col(text_col))).alias("word")).groupBy("_k", "word").agg(F.count("*").alias("f"))
+        known = lookup(tf, counts.withColumn("c", F.col("n")), ["word"])
+        logs = known.groupBy("_k").agg((-F.sum(F.col("f") * F.log((F.coalesce("c", F.lit(0)) + 1) / base)) / F.sum("f")).alias("_h"))
+        return docs.join(logs, docs[id_col].eqNullSafe(logs["_k"]), "left").withColumn("ppl", F.exp("_h")).drop("_k", "_h")
 
     return score
 
@@ -58,23 +64,27 @@ class Arpa:
         self.grams, self.order = grams, order
 
     @classmethod
-    def load(cls, path: str) -> Arpa:
+    def parse(cls, lines) -> Arpa:
         grams: dict[tuple[str, ...], tuple[float, float]] = {}
         order = 0
-        with open(path, encoding="utf-8") as f:
-            for line in f:
-                line = line.rstrip("\n")
-                if line.startswith("\\") and line.endswith("-grams:"):
-                    order = int(line[1:].split("-")[0])
-                elif order and line and not line.startswith("\\"):
-                    parts = line.split("\t") if "\t" in line else line.split()
-                    gram = tuple(parts[1].split()) if "\t" in line else tuple(parts[1 : 1 + order])
-                    rest = parts[2:] if "\t" in line else parts[1 + order :]
-                    grams[gram] = (float(parts[0]), float(rest[0]) if rest else 0.0)
+        for line in lines:
+            line = line.rstrip("\n")
+            if line.startswith("\\") and line.endswith("-grams:"):
+                order = int(line[1:].split("-")[0])
+            elif order and line and not line.startswith("\\"):
+                parts = line.split("\t") if "\t" in line else line.split()
+                gram = tuple(parts[1].split()) if "\t" in line else tuple(parts[1 : 1 + order])
+                rest = parts[2:] if "\t" in line else parts[1 + order :]
+                grams[gram] = (float(parts[0]), float(rest[0]) if rest else 0.0)
         if not grams:
-            raise ValueError(f"no n-grams in {path}")
+            raise ValueError("no n-grams")
         return cls(grams, order)
 
+    @classmethod
+    def load(cls, path: str) -> Arpa:
+        with open(path, encoding="utf-8") as f:
+            return cls.parse(f)
+
     def log10(self, gram: tuple[str, ...]) -> float:
         penalty = 0.0
         while True:
@@ -98,12 +108,14 @@ def _arpa(path: str) -> Arpa:
     return Arpa.load(path)
 
 
-def arpa_scorer(path: str) -> Scorer:
-    """Scorer of an ARPA file that every executor can read; loaded once for each Python worker."""
+def arpa_scorer(path: str | None = None, text: str | None = None) -> Scorer:
+    """Scorer of an ARPA file that every executor can read, loaded once for each Python worker, or of a small model given as text."""
+    if (path is None) == (text is None):
+        raise ValueError("give either a path or a text")
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = _arpa(path)
+        model = _arpa(path) if text is None else Arpa.parse(text.split("\n"))
         for b in batches:
             yield b.map(model.perplexity, na_action="ignore").astype("float64")
 
@@ -116,12 +128,12 @@ def perplexity(docs: DataFrame, scorer: Scorer, text_col: str = "text", unit: st
     return scored.drop("_scored")
 
 
-def global_rank(rows: DataFrame, by: list[str], partitions: int = 16) -> DataFrame:
+def global_rank(rows: DataFrame, by: list[str], partitions: int | None = None) -> DataFrame:
     """Rows with ``rank`` (from 1) in the order of ``by``, without bringing them together.
 
     Rows are sorted by range partitions and kept as a table; a row's rank is its place in its partition plus the rows before it.
     """
-    parted = table(rows.repartitionByRange(partitions, *by).withColumn("_part", F.spark_partition_id()), "ranges")
+    parted = table(rows.repartitionByRange(partitions or session_partitions(rows), *by).withColumn("_part", F.spark_partition_id()), "ranges")
     sizes = parted.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # one row a partition
     offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
@@ -129,7 +141,7 @@ def global_rank(rows: DataFrame, by: list[str], partitions: int = 16) -> DataFra
     return parted.withColumn("_place", place).join(F.broadcast(offsets), "_part").withColumn("rank", F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
 
 
-def split_by_quantile(rows: DataFrame, score: str = "ppl", q: float = 0.8, id_col: str = "doc_id", partitions: int = 16) -> DataFrame:
+def split_by_quantile(rows: DataFrame, score: str = "ppl", q: float = 0.8, id_col: str = "doc_id", partitions: int | None = None) -> DataFrame:
     """Rows with ``rank`` and ``label``: the first int(n * q) by (score, id) are pos, the rest neg.  Rows without a score are left out."""
     if not 0 <= q <= 1:
         raise ValueError("q must lie between 0 and 1")

@@ -6,18 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .joins import BROADCAST_KEYS
 from ..functions.text import char_truncate
 
 
 def sample(docs: DataFrame, n: int, seed: int = 0, id_col: str = "doc_id", mode: str = "hash") -> DataFrame:
-    """min(n, N) documents, uniform without replacement: a bounded heap in each partition, no full sort.
+    """min(n, N) documents, uniform without replacement: a bounded heap of ids in each partition, no full sort.  Texts stay where they are
+    and meet the drawn ids (``id_col`` must be unique).
 
     ``hash`` takes the smallest MD5 of seed and id, ``rand`` Spark's generator, ``first`` just the first rows that come (fast, biased).
     """
     if n < 0:
         raise ValueError("n must not be negative")
     if mode == "hash":
-        return docs.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col))), id_col).limit(n)
+        drawn = docs.select(id_col).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col))), id_col).limit(n)
+        return docs.join(F.broadcast(drawn) if n <= BROADCAST_KEYS else drawn, id_col, "left_semi")
     if mode == "rand":
         return docs.orderBy(F.rand(seed)).limit(n)
     if mode == "first":

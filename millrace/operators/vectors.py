@@ -8,7 +8,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .grams import mixed
 from ..functions.text import cosine, norm
+from ..store import table
 
 DISTANCES = {}
 
@@ -69,24 +71,57 @@ def mean_cosine(vectors: DataFrame, vec_col: str = "embedding") -> DataFrame:
 def pair_cosines(vectors: DataFrame, k: int, seed: int = 0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(i, j, sim): ``k`` different pairs drawn uniformly from all pairs i < j, and only they, are compared.
 
-    Vectors are numbered by rank of their id; pairs are drawn by number.  k is bounded by the caller (n // 10 or n * n // 10 of a sample).
+    Vectors are numbered by rank of their id, pairs by a bijection of k numbers into all pairs' numbers, so that executors draw
+    them and nothing but counts is on the driver: a keyed permutation of the next power of two, walked on until it is inside.
     """
     from .lm import global_rank
 
-    ranked = global_rank(vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")), ["id"]).select((F.col("rank") - 1).alias("r"), "id", "v")
+    ranked = table(global_rank(vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")), ["id"]).select((F.col("rank") - 1).alias("r"), "id", "v"), "numbered")
     n = ranked.count()
     total = n * (n - 1) // 2
-    drawn = np.random.default_rng(seed).choice(total, min(k, total), replace=False, shuffle=False) if total else np.zeros(0, np.int64)
-    rows = []
-    for x in drawn.tolist():
-        j = int((1 + math.isqrt(8 * x + 1)) // 2)
-        rows.append((x - j * (j - 1) // 2, j))
-    wanted = vectors.sparkSession.createDataFrame(rows, "a long, b long")
+    spark = vectors.sparkSession
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            a, c = pair_numbers(permuted(b.column(0).to_numpy(zero_copy_only=False), total, seed))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
+
+    wanted = spark.range(min(k, total)).mapInArrow(run, "a long, b long")
     left = ranked.select(F.col("r").alias("a"), F.col("id").alias("i"), F.col("v").alias("v0"))
     right = ranked.select(F.col("r").alias("b"), F.col("id").alias("j"), F.col("v").alias("v1"))
     return wanted.join(left, "a").join(right, "b").select("i", "j", cosine(F.col("v0"), F.col("v1")).alias("sim"))
 
 
+def permuted(x: np.ndarray, total: int, seed: int) -> np.ndarray:
+    """Places of numbers below ``total`` under a permutation of them that depends on the seed: four Feistel rounds, repeated while outside."""
+    if total < 2:
+        return x.astype(np.int64)
+    half = max(1, ((total - 1).bit_length() + 1) // 2)
+    low = np.uint64((1 << half) - 1)
+    keys = [np.uint64((seed * 0x9E3779B97F4A7C15 + (i + 1) * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF) for i in range(4)]
+
+    def once(v: np.ndarray) -> np.ndarray:
+        left, right = v >> np.uint64(half), v & low
+        for key in keys:
+            left, right = right, left ^ ((mixed(right ^ key) >> np.uint64(20)) & low)
+        return (left << np.uint64(half)) | right
+
+    out = once(x.astype(np.uint64))
+    while (far := out >= np.uint64(total)).any():
+        out[far] = once(out[far])
+    return out.astype(np.int64)
+
+
+def pair_numbers(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b), a < b, by number: x = b (b - 1) / 2 + a; for up to 2^31 vectors."""
+    b = ((1 + np.sqrt(8.0 * x + 1)) / 2).astype(np.int64)
+    b += (b + 1) * b // 2 <= x
+    b -= b * (b - 1) // 2 > x
+    return x - b * (b - 1) // 2, b
+
+
 def medoids(assigned: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cluster_col: str = "cluster") -> DataFrame:
     """(cluster, medoid, size, dist): the member next to the mean of its cluster, the smallest id first.
 
@@ -101,14 +136,47 @@ def medoids(assigned: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
     return far.groupBy("cluster").agg(F.min("m").alias("m"), F.count("*").alias("size")).select("cluster", F.col("m.id").alias("medoid"), "size", F.col("m.dist").alias("dist"))
 
 
-def kmeans(vectors: DataFrame, k: int, max_iter: int = 400, seed: int = 0, vec_col: str = "embedding") -> DataFrame:
-    """Vectors with ``cluster`` by k-means."""
+def kmeans(vectors: DataFrame, k: int, max_iter: int = 400, seed: int = 0, vec_col: str = "embedding", start: list[list[float]] | None = None) -> DataFrame:
+    """Vectors with ``cluster`` by k-means, from a drawn start or a given one of k centres.
+
+    Input is persisted for the rounds (on disk where memory is short).  Of a given start every round is one aggregation by cluster
+    and dimension; only the k centres reach the driver.  A cluster that becomes empty keeps its centre; ties go to the lower number.
+    """
+    from pyspark.storagelevel import StorageLevel
+
+    if start is not None:
+        return _lloyd(vectors, start, max_iter, vec_col)
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    data = vectors.withColumn("_f", array_to_vector(F.transform(F.col(vec_col), lambda x: x.cast("double"))))
+    data = vectors.withColumn("_f", array_to_vector(F.transform(F.col(vec_col), lambda x: x.cast("double")))).persist(StorageLevel.MEMORY_AND_DISK)
     model = KMeans(k=k, maxIter=max_iter, seed=seed, featuresCol="_f", predictionCol="cluster").fit(data)
-    return model.transform(data).drop("_f")
+    out = table(model.transform(data).drop("_f"), "clusters")
+    data.unpersist()
+    return out
+
+
+def nearest(v: Column, centres: list[list[float]]) -> Column:
+    """Number of the nearest centre, the lowest of equal ones."""
+    far = lambda c: F.aggregate(F.zip_with(v, F.lit(c), lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
+    places = [far(c) for c in centres]
+    return F.array_position(F.array(*places), F.array_min(F.array(*places))).cast("int") - 1
+
+
+def _lloyd(vectors: DataFrame, start: list[list[float]], max_iter: int, vec_col: str) -> DataFrame:
+    data = vectors.persist()
+    centres = [list(map(float, c)) for c in start]
+    for _ in range(max_iter):
+        flat = data.select(nearest(F.col(vec_col), centres).alias("k"), F.posexplode(vec_col).alias("d", "x"))
+        new = [list(c) for c in centres]
+        for r in flat.groupBy("k", "d").agg(F.avg(F.col("x").cast("double")).alias("m")).collect():  # clusters times dimensions
+            new[r.k][r.d] = r.m
+        if new == centres:
+            break
+        centres = new
+    out = table(data.withColumn("cluster", nearest(F.col(vec_col), centres)), "clusters")
+    data.unpersist()
+    return out
 
 
 def cluster_profile(assigned: DataFrame, **names) -> tuple[DataFrame, DataFrame]:

@@ -282,6 +282,50 @@ def unigram_perplexity(spark, folder):
     return scored.where("ppl is not null").select("doc_id", F.round("ppl", 4).alias("ppl"))
 
 
+_CHARS = f"list_filter(string_split(regexp_replace(content, {_W}, '', 'g'), ''), lambda x: x <> '')"
+
+
+@query(
+    f"""WITH w AS (SELECT line_id AS doc_id, unnest({_CHARS}) AS w FROM corpus_lines WHERE content IS NOT NULL), c AS (SELECT w, count(*) AS n FROM w GROUP BY 1),
+    b AS (SELECT (sum(n) + count(*) + 1)::DOUBLE AS b FROM c), f AS (SELECT doc_id, w, count(*) AS f FROM w GROUP BY 1, 2)
+    SELECT doc_id, round(exp(-sum(f * ln((n + 1) / b)) / sum(f)), 4) AS ppl FROM f JOIN c USING (w), b GROUP BY doc_id"""
+)
+def char_perplexity(spark, folder):
+    """The scores that quality_split ranks."""
+    lines = _lines(spark, folder)
+    counts = table(lm.unigrams(lines, unit="char"), "unigrams")
+    scored = lm.perplexity(lines, lm.unigram_scorer(counts), unit="char", truncation=None)
+    return scored.where("ppl is not null").select("doc_id", F.round("ppl", 4).alias("ppl"))
+
+
+#: A bigram model small enough to repeat in SQL: words and pairs with log10 probability and back-off weight.
+_UNI = {"<unk>": (-2.0, 0.0), "<s>": (-99.0, -0.25), "</s>": (-1.5, 0.0), "the": (-1.25, -0.5), "of": (-1.75, -0.125), "de": (-1.5, -0.375)}
+_BI = {("<s>", "the"): -0.5, ("of", "the"): -0.25, ("the", "</s>"): -2.25, ("de", "de"): -3.0}
+
+
+def _arpa_text() -> str:
+    ones = [f"{p}\t{w}\t{b}" for w, (p, b) in _UNI.items()]
+    twos = [f"{p}\t{a} {b}" for (a, b), p in _BI.items()]
+    return "\n".join(["\\data\\", f"ngram 1={len(ones)}", f"ngram 2={len(twos)}", "", "\\1-grams:", *ones, "", "\\2-grams:", *twos, "", "\\end\\"])
+
+
+def _arpa_sql() -> str:
+    u = ", ".join(f"('{w}', {p}::DOUBLE, {b}::DOUBLE)" for w, (p, b) in _UNI.items())
+    g = ", ".join(f"('{a}', '{b}', {p}::DOUBLE)" for (a, b), p in _BI.items())
+    return f"""WITH u(w, p, b) AS (VALUES {u}), g(a, c, p) AS (VALUES {g}),
+    t AS (SELECT doc_id, list_concat(['<s>'], {_WORDS}, ['</s>']) AS t FROM documents WHERE text IS NOT NULL),
+    x AS (SELECT doc_id, unnest(range(2, len(t) + 1)) AS i, t FROM t), s AS (SELECT doc_id, t[i - 1] AS a, t[i] AS c FROM x),
+    k AS (SELECT doc_id, CASE WHEN ua.w IS NULL THEN '<unk>' ELSE s.a END AS a, CASE WHEN uc.w IS NULL THEN '<unk>' ELSE s.c END AS c FROM s LEFT JOIN u ua ON ua.w = s.a LEFT JOIN u uc ON uc.w = s.c)
+    SELECT doc_id, round(pow(10, -sum(coalesce(g.p, ua.b + uc.p)) / count(*)), 4) AS ppl FROM k LEFT JOIN g ON g.a = k.a AND g.c = k.c JOIN u ua ON ua.w = k.a JOIN u uc ON uc.w = k.c GROUP BY doc_id"""
+
+
+@query(_arpa_sql())
+def arpa_perplexity(spark, folder):
+    """Perplexity by a back-off model in ARPA text, over whole documents."""
+    scored = lm.perplexity(read(spark, folder, "documents").where("text is not null"), lm.arpa_scorer(text=_arpa_text()), truncation=None)
+    return scored.select("doc_id", F.round("ppl", 4).alias("ppl"))
+
+
 @query()
 def quality_split(spark, folder):
     lines = read(spark, folder, "corpus_lines").select(F.col("line_id").alias("doc_id"), F.col("content").alias("text"))
@@ -335,6 +379,11 @@ def entity_df_zh(spark, folder):
     return knowledge.entity_counts(knowledge.mentions(read(spark, folder, "documents"), _entities(spark, folder, "zh"), "char"))
 
 
+@query("WITH e AS (SELECT DISTINCT name_zh AS entity FROM entity_list WHERE length(name_zh) > 1), m AS (SELECT doc_id, entity FROM documents, e WHERE contains(text, entity)) SELECT (SELECT count(*) FROM m) AS mentions, sum(length(text))::BIGINT AS size, round((SELECT count(*) FROM m) / (sum(length(text)) + 1e-9::DOUBLE), 6) AS density FROM documents")
+def knowledge_density_zh(spark, folder):
+    return knowledge.knowledge_density(read(spark, folder, "documents"), _entities(spark, folder, "zh"), "char").withColumn("density", F.round("density", 6))
+
+
 @query("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT (SELECT count(*) FROM v) AS vectors, count(*) AS pairs, round(avg(list_cosine_similarity(a.e, b.e)), 6) AS mean_cosine FROM v a JOIN v b ON a.vec_id < b.vec_id")
 def cosine_pairs_summary(spark, folder):
     return vectors.mean_cosine(read(spark, folder, "embeddings")).withColumn("mean_cosine", F.round("mean_cosine", 6))
@@ -357,9 +406,22 @@ def cluster_medoids(spark, folder):
     return m.withColumn("dist", F.round("dist", 6))
 
 
+@query(
+    """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), c0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS k, e FROM v ORDER BY vec_id LIMIT 10),
+    a0 AS (SELECT v.vec_id, min({'d': list_distance(v.e, c0.e), 'k': k}).k AS k FROM v, c0 GROUP BY 1),
+    m AS (SELECT k, d, avg(x) AS m FROM (SELECT k, unnest(e) AS x, generate_subscripts(e, 1) AS d FROM a0 JOIN v USING (vec_id)) GROUP BY 1, 2), c1 AS (SELECT k, list(m ORDER BY d) AS e FROM m GROUP BY 1)
+    SELECT v.vec_id, min({'d': list_distance(v.e, c1.e), 'k': k}).k::INT AS cluster FROM v, c1 GROUP BY 1"""
+)
+def kmeans_round(spark, folder):
+    """One round from a given start: the ten vectors of the smallest ids."""
+    v = read(spark, folder, "embeddings")
+    start = [list(r.embedding) for r in v.orderBy("vec_id").limit(10).collect()]
+    return vectors.kmeans(v, 10, 1, start=start).select("vec_id", F.col("cluster").cast("int").alias("cluster"))
+
+
 @query()
 def kmeans_clusters(spark, folder):
-    return vectors.kmeans(read(spark, folder, "embeddings"), 10, 50).groupBy("cluster").agg(F.count("*").alias("size"))
+    return vectors.kmeans(read(spark, folder, "embeddings"), 100).groupBy("cluster").agg(F.count("*").alias("size"))
 
 
 @query(

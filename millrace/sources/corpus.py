@@ -6,6 +6,8 @@ the text, the raw line is kept as ``_raw``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,6 +56,15 @@ def write_raw(docs: DataFrame, path: str, mode: str = "errorifexists") -> None:
     docs.select("_raw").write.mode(mode).text(path)
 
 
+def write_mirrored(docs: DataFrame, source: str, path: str, file_col: str = "file", mode: str = "errorifexists") -> None:
+    """The raw lines of documents as a tree like the one they were read from: a folder for each file of ``source``, under its own path.
+
+    Spark writes a folder of parts where the source has a file; the folder's name is the file's path below ``source``.
+    """
+    below = F.regexp_replace(F.col(file_col), "^.*?" + re.escape(source.rstrip("/").split("://")[-1].lstrip("/")) + "/", "")
+    docs.select("_raw", below.alias("file")).repartition("file").write.mode(mode).partitionBy("file").text(path)
+
+
 def write_pairs(pairs: DataFrame, docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", mode: str = "errorifexists") -> None:
     """Scored pairs (lo, hi, sim) as {text0, text1, pair, sim}."""
     text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
@@ -62,7 +73,9 @@ def write_pairs(pairs: DataFrame, docs: DataFrame, path: str, id_col: str = "doc
 
 
 def write_split(labelled: DataFrame, path: str, label_col: str = "label", mode: str = "errorifexists") -> None:
-    """One folder for each label, such as pos and neg."""
+    """One folder for each label, such as pos and neg; with a column ``rank`` its files, read in the order of their names, rise by it."""
+    if "rank" in labelled.columns:
+        labelled = labelled.repartitionByRange(label_col, "rank").sortWithinPartitions(label_col, "rank")
     write_corpus(labelled, path, by=label_col, mode=mode)
 
 

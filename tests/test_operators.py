@@ -287,3 +287,104 @@ def test_bucket_of_many_texts_goes_in_blocks(spark, monkeypatch):
     rows = [(i, b, k) for b, k, n in ((0, 1, 40), (0, 2, 3), (1, 1, 30)) for i in range(n)]
     got = dedup.lsh_candidates(spark.createDataFrame(rows, "id long, band int, bucket long"))
     assert {(r.lo, r.hi) for r in got.collect()} == {(a, b) for a in range(40) for b in range(a + 1, 40)} and got.count() == 780
+
+
+def test_permutation_of_pair_numbers():
+    import numpy as np
+
+    for total in (1, 2, 3, 10, 45, 1000):
+        got = vectors.permuted(np.arange(total), total, 5)
+        assert sorted(got.tolist()) == list(range(total))
+    a, b = vectors.pair_numbers(np.arange(4950))
+    assert {(int(x), int(y)) for x, y in zip(a, b)} == {(x, y) for y in range(100) for x in range(y)}
+    big = np.array([2**60 + 12345])
+    a, b = vectors.pair_numbers(big)
+    assert 0 <= a[0] < b[0] and int(b[0]) * (int(b[0]) - 1) // 2 + int(a[0]) == int(big[0])
+
+
+def test_drawn_pairs_are_spread_and_differ_by_seed(spark):
+    vecs = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(50)], "vec_id long, embedding array<float>")
+    one, two = ({(r.i, r.j) for r in vectors.pair_cosines(vecs, 300, s).collect()} for s in (1, 2))
+    assert len(one) == len(two) == 300 and one != two and all(i < j for i, j in one | two)
+    assert len({(r.i, r.j) for r in vectors.pair_cosines(vecs, 10_000).collect()}) == 1225
+    assert vectors.pair_cosines(vecs.where("false"), 5).count() == 0
+
+
+def test_kmeans_of_a_given_start(spark):
+    rows = [(i, [float(i), 0.0]) for i in (0, 1, 2, 10, 11, 12)]
+    got = {r.vec_id: r.cluster for r in vectors.kmeans(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 2, 0, start=[[1.0, 0.0], [1.0, 0.0]]).collect()}
+    assert got == dict.fromkeys((0, 1, 2, 10, 11, 12), 0)
+    got = {r.vec_id: r.cluster for r in vectors.kmeans(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 2, start=[[0.0, 0.0], [3.0, 0.0]]).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 10: 1, 11: 1, 12: 1}
+
+
+def test_scores_of_an_other_id_column(spark):
+    docs = spark.createDataFrame([("b", "x y"), ("a", "x x z"), ("c", None)], "key string, text string")
+    got = {r.key: r.ppl for r in lm.unigram_scorer(lm.unigrams(docs), "key")(docs, "text").collect()}
+    base = 5 + 3 + 1
+    assert got["c"] is None and got["b"] == pytest.approx((4 / base * 2 / base) ** -0.5) and got["a"] == pytest.approx((4 / base * 4 / base * 2 / base) ** (-1 / 3))
+    with pytest.raises(ValueError):
+        lm.unigram_scorer(lm.unigrams(docs))(docs, "text")
+
+
+def test_judge_of_a_corpus(spark):
+    docs = spark.createDataFrame([(i, None if i == 7 else "good" if i % 3 else "bad words") for i in range(30)], "doc_id long, text string")
+    got = flows.judged_split(docs, lambda p: "1" if "'''good'''" in p else "0", "Is it good?").collect()
+    assert len(got) == 29 and all((r.verdict == "pos") == (r.text == "good") for r in got)
+    assert flows.judged_split(docs, lambda p: "1", "Is it good?", n=10).count() == 10
+
+
+def test_profile_with_models(spark):
+    docs = spark.createDataFrame([(i, f"the Old Mill and the New Port {'x' * (i % 5)}") for i in range(60)], "doc_id long, text string")
+    entities = spark.createDataFrame([("Old Mill",), ("New Port",), ("Nowhere",)], "entity string")
+    embed = lambda: lambda texts: [[float(len(t)), 1.0] for t in texts]
+    fisher = lambda texts: [1.0 + len(texts), sum(map(len, texts)) + 1.0]
+    got = flows.profile(docs, ["knowledge", "diversity"], n=None, entities=entities, embed=embed, fisher=fisher).first()
+    assert got.list_sim_knowledge == pytest.approx([1.0]) and got.knowledge_density > 0 and got.task2vec_div is not None
+
+
+def test_mirrored_tree_and_rising_split(spark, tmp_path):
+    (tmp_path / "in" / "a").mkdir(parents=True)
+    for name in ("a/x.jsonl", "y.jsonl"):
+        (tmp_path / "in" / name).write_text("".join(json.dumps({"text": f"{name} {i}"}) + "\n" for i in range(3)))
+    docs = corpus.read_corpus(spark, str(tmp_path / "in"))
+    corpus.write_mirrored(docs, str(tmp_path / "in"), str(tmp_path / "out"))
+    back = spark.read.text(str(tmp_path / "out")).collect()
+    assert {r.file for r in back} == {"a/x.jsonl", "y.jsonl"} and len(back) == 6 and all(json.loads(r.value)["text"].startswith(r.file) for r in back)
+    split = lm.split_by_quantile(spark.createDataFrame([(i, float(i * 37 % 100)) for i in range(100)], "doc_id long, ppl double"))
+    corpus.write_split(split, str(tmp_path / "split"))
+    rows = [json.loads(x)["ppl"] for f in sorted((tmp_path / "split" / "label=pos").glob("*.json")) for x in f.read_text().splitlines()]
+    assert rows == sorted(rows) and len(rows) == 80
+
+
+def test_store_asks_for_a_shared_folder_off_one_machine(spark):
+    from types import SimpleNamespace
+
+    from millrace import store
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        store.shared_dir(far)
+    t = store.table(spark.range(5), "dropped")
+    files = [f.replace("file://", "") for f in t.inputFiles()]
+    assert t.count() == 5 and files
+    store.drop(t)
+    import os
+
+    assert not any(os.path.exists(f) for f in files)
+
+
+def test_jobs_take_their_options_from_settings(spark, tmp_path):
+    from millrace.settings import Settings
+
+    texts = ["the quick brown fox jumps over the lazy dog", "the quick brown fox jumps over the lazy dog!", "something else that is long enough"]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text("".join(json.dumps({"content": t}) + "\n" for t in texts))
+    own = Settings().having(corpus=str(tmp_path / "in"), text_col="content", quantile=0.5)
+    kept, removed, pairs = flows.run_job(spark, "dedup", own)
+    assert kept.count() == 2 and removed.count() == 1 and pairs.count() == 1
+    assert flows.run_job(spark, "dedup", own.having(threshold=0.999), method="exact")[1].count() == 0
+    assert sorted(r.label for r in flows.run_job(spark, "quality", own).collect()) == ["neg", "neg", "pos"]
+    assert len(flows.run_job(spark, "profile", own, metrics=["length"]).first().list_doc_length) == 3
+    with pytest.raises(ValueError):
+        flows.run_job(spark, "other", own)
