@@ -23,12 +23,6 @@ from pyspark.sql.window import Window
 from .cutoff import clean_source
 from ..store import table
 
-#: Default grouping of sources; a source that isn't named is a domain of its own.
-DOMAINS = {
-    "web": "webcrawl news forum blogs shops reviews",
-    "reference": "encyclopedia howto government school minutes patents_like dictionary lectures",
-    "culture": "recipes travel letters subtitles field_notes folklore",
-}
 BUCKETS = 4096
 
 
@@ -105,11 +99,9 @@ def leaf_budgets(leaves: list[tuple[tuple[str, ...], float, int]], budget: int)
     return out
 
 
-def domain_of(source: str, domains: dict[str, str] | None = None) -> str:
-    for name, members in (DOMAINS if domains is None else domains).items():
-        if source in members.split():
-            return name
-    return source
+def domain_of(source: str, domains: dict[str, str]) -> str:
+    """The domain whose members (in one string, with blanks between) include the source; a source that no domain names is one of its own."""
+    return next((name for name, members in domains.items() if source in members.split()), source)
 
 
 class Mixture:
@@ -118,7 +110,7 @@ class Mixture:
     ``budget``: tokens of the mixture; by default those of all documents whose source has a weight.
     """
 
-    def __init__(self, docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 0, domains: dict[str, str] | None = None):
+    def __init__(self, docs: DataFrame, targets: DataFrame, domains: dict[str, str], budget: int | None = None, seed: int = 0):
         spark = docs.sparkSession
         goal = targets.select(clean_source(F.col("source")).alias("source"), "weight", "max_repeats").where("source is not null and weight > 0 and max_repeats > 0")
         goal = goal.groupBy("source").agg(F.sum("weight").alias("weight"), F.max("max_repeats").alias("max_repeats"))

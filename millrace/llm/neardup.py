@@ -9,8 +9,8 @@ Each candidate is then held against a bit sketch of all orders, and verified on
 A prefix is one token here, not the 0.2 |x| tokens of the lossless filter: that needs hundreds of index rows a text.  A
 pair at the threshold 0.8 itself is missed with probability (1 - 0.8^6)^32 = 6e-5, at 0.85 with 6e-8, and by the sketch with
 less than 1e-7.  ``exact=True`` loses none: whole prefixes under ``EXACT_ORDERS`` orders, all of them rare tokens first (token
-frequencies are counted over all texts in a table of fixed size) but otherwise different; a candidate must share a prefix
-token under each order, and no sketch is held against it.
+frequencies are counted over all texts in a table of fixed size) but otherwise different; a candidate must share
+``EXACT_SHARED`` prefix tokens under each order, and no sketch is held against it.
 
 An order over a large set is a range partition of another order: with ``bins`` bins, the first token of each bin of one hash
 stands for ``bins`` orders, each over its own share of the n-grams.  Small sets use few bins and many hashes, so that a bin
@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import chunks, code_points, mix64, windows
+from ..operators.grams import pair_up, prefixes
 from ..store import table
 
 DEPTH = 6
@@ -47,11 +48,8 @@ CLASSES = [(0, 3, 64), (48, 6, 32), (96, 12, 16), (192, 24, 8), (384, 48, 4), (7
 _FLOORS = np.array([c[0] for c in CLASSES])
 #: Sketch bits that may differ: at similarity s, (1 - s) / 2 of ORDERS differ on average; six deviations are granted.
 SIGMAS = 6.0
-#: One text in so many is looked at for keys that many texts share; those with so many texts (as estimated) are joined in blocks of BLOCK.
-PROBE, HOT, BLOCK = 64, 4096, 1024
-EXACT_ORDERS = 2
-#: Counters of token frequencies, in bits of a token's hash.
-COUNTER_BITS = 20
+#: Orders of the exact mode, and prefix tokens that must be shared under each.
+EXACT_ORDERS, EXACT_SHARED = 2, 8
 
 
 def sketch_limit(threshold: float) -> int:
@@ -190,78 +188,6 @@ def verify(pairs: DataFrame, n: int, threshold: float) -> DataFrame:
     return pairs.select("lo", "hi", "text_lo", "text_hi").mapInArrow(run, "lo long, hi long, sim double")
 
 
-def frequencies(records: DataFrame, n: int) -> np.ndarray:
-    """Texts by token, for tokens of equal first bits together, over all records (id, text): a table of fixed size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(1 << COUNTER_BITS, np.int64)
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                np.add.at(count, (gram_set(text, n) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
-        at = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(count[at], pa.int64())], names=["at", "n"])
-
-    rows = records.where("text is not null").select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(1 << COUNTER_BITS, np.int64)
-    for r in rows:
-        out[r["at"]] = r.n
-    return out
-
-
-def prefixes(records: DataFrame, n: int, threshold: float, orders: int = EXACT_ORDERS) -> DataFrame:
-    """(key, id, grams, ord): the lossless prefix of each text under each order, |x| - ceil(t |x|) + 1 of its |x| tokens."""
-    level = np.ceil(np.log2(frequencies(records, n) + 1)).astype(np.uint64)
-    given = records.sparkSession.sparkContext.broadcast(level)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                tokens = gram_set(text, n)
-                if not len(tokens):
-                    continue
-                size = len(tokens) - int(np.ceil(threshold * len(tokens) - 1e-9)) + 1
-                rare = given.value[(tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)] << np.uint64(58)
-                for o in range(orders):
-                    place = rare | (mix64(tokens ^ np.uint64((o + 1) * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(6))
-                    first = tokens[np.argsort(place, kind="stable")[:size]]
-                    yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64), pa.int64()), pa.array(np.full(len(first), i), pa.int64()), pa.array(np.full(len(first), len(tokens)), pa.int32()), pa.array(np.full(len(first), o), pa.int32())], names=["key", "id", "grams", "ord"])
-
-    return records.select("id", "text").where("id is not null and text is not null").mapInArrow(run, "key long, id long, grams int, ord int")
-
-
-def hot_keys(keyed: DataFrame) -> DataFrame | None:
-    """(key, blocks) of keys that many texts share, estimated on one text in PROBE; None if there are none.  At most 100 000 keys."""
-    seen = keyed.where(F.pmod(F.xxhash64("id"), F.lit(PROBE)) == 0).groupBy("key").agg(F.count("*").alias("n"))
-    rows = seen.where(F.col("n") * PROBE >= HOT).orderBy(F.desc("n")).limit(100_000).collect()
-    if not rows:
-        return None
-    return keyed.sparkSession.createDataFrame([(r.key, -(-r.n * PROBE // BLOCK)) for r in rows], "key long, blocks int")
-
-
-def pair_up(keyed: DataFrame, threshold: float, more: tuple[str, ...] = ()) -> DataFrame:
-    """(lo, hi, least, *more) of rows (key, id, grams, *more) that share a key and whose sizes allow the threshold; repeats where they share several.
-
-    Both sides of the join are the same rows, so that they are shuffled once; only rows of hot keys go another way.
-    """
-    t = F.lit(threshold)
-
-    def joined(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
-        a, b = a.alias("a"), b.alias("b")
-        both = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*on, *more]])
-        fit = (F.col("a.id") < F.col("b.id")) & (F.col("a.grams") > t * F.col("b.grams")) & (F.col("b.grams") > t * F.col("a.grams"))
-        return both.where(fit).select(F.col("a.id").alias("lo"), F.col("b.id").alias("hi"), F.least("a.grams", "b.grams").alias("least"), *(F.col(f"a.{c}").alias(c) for c in more))
-
-    hot = hot_keys(keyed)
-    if hot is None:
-        return joined(keyed, keyed, ["key"])
-    calm = keyed.join(F.broadcast(hot.select("key")), "key", "left_anti")
-    busy = keyed.join(F.broadcast(hot), "key").withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = busy.withColumnRenamed("own", "p").withColumn("q", every)
-    right = busy.withColumnRenamed("own", "q").withColumn("p", every)
-    return joined(calm, calm, ["key"]).unionByName(joined(left, right, ["key", "p", "q"]))
-
-
 class NearDuplicates:
     """Links of one table of records (id, text).
 
@@ -298,8 +224,10 @@ class NearDuplicates:
     def candidates(self) -> DataFrame:
         """(lo, hi) of all candidates, before they are verified."""
         if self.exact:
-            keyed = table(prefixes(self._texts().join(self.spare, "id", "left_anti"), self.n, self.threshold), "prefixes")
-            return pair_up(keyed, self.threshold, ("ord",)).select("lo", "hi", "ord").distinct().groupBy("lo", "hi").agg(F.count("*").alias("k")).where(f"k = {EXACT_ORDERS}").select("lo", "hi")
+            keyed = table(prefixes(self._texts().join(self.spare, "id", "left_anti"), self.n, self.threshold, EXACT_ORDERS, EXACT_SHARED), "prefixes")
+            shared = pair_up(keyed, self.threshold, ("ord",)).groupBy("lo", "hi", "ord").agg(F.count("*").alias("k"), F.min("least").alias("least"))
+            need = F.least(F.lit(EXACT_SHARED), F.greatest(F.lit(1), F.ceil(F.lit(self.threshold) * F.col("least") - 1e-9)))
+            return shared.where(F.col("k") >= need).groupBy("lo", "hi").agg(F.count("*").alias("k")).where(f"k = {EXACT_ORDERS}").select("lo", "hi")
         return self._sketched(pair_up(self._keyed(), self.threshold))
 
     def _sketched(self, pairs: DataFrame) -> DataFrame:

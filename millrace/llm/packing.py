@@ -27,7 +27,8 @@ from ..store import table
 
 #: Cost of a bin beside its length, in tokens.
 OVERHEAD = 16
-SALTS = 64
+#: Items that a group of one size and salt has on average, where one size has all items.
+GROUP_ROWS = 100_000
 
 
 def opening(size: int, lengths: list[int], overhead: int = OVERHEAD) -> int:
@@ -117,16 +118,21 @@ def pieces(sized: DataFrame, jobs: list[tuple[str, int]]) -> DataFrame:
     return rows.select("job_name", "capacity", "id", "piece", F.expr("least(capacity, size - piece * capacity)").alias("tokens"))
 
 
-def pack(sized: DataFrame, jobs: list[tuple[str, int]], overhead: int = OVERHEAD, salts: int = SALTS) -> DataFrame:
+def pack(sized: DataFrame, jobs: list[tuple[str, int]], overhead: int = OVERHEAD, salts: int | None = None) -> DataFrame:
     """(job_name, id, piece, tokens, container_id, container_size) of documents (id, tokens).
 
-    A job may use every capacity of ``jobs`` up to its own.
+    A job may use every capacity of ``jobs`` up to its own.  Without ``salts`` their number follows from the number of documents and
+    the tokens in them, so that a group has about GROUP_ROWS items however large the corpus is.
     """
     if not jobs or any(c < 1 for _, c in jobs):
         raise ValueError("there must be a job, and capacities must be at least 1")
     if len({n for n, _ in jobs}) < len(jobs):
         raise ValueError("names of jobs must differ")
-    items = pieces(sized, jobs).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+    if salts is None:
+        most = sized.agg(F.count("*").alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()
+        salts = max(8, -(-(most.n + most.t // min(c for _, c in jobs)) // GROUP_ROWS))
+    # pieces of one document too go to different groups
+    items = pieces(sized, jobs).withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(salts)))
     order = Window.partitionBy("job_name", "tokens", "salt").orderBy("id", "piece")
     ranked = table(items.withColumn("r", F.row_number().over(order).cast("long") - 1), "ranked")
     groups = ranked.groupBy("job_name", "tokens", "salt").agg(F.count("*").alias("n"))

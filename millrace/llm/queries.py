@@ -58,10 +58,18 @@ def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(sized, jobs).withColumnRenamed("id", "doc_id")
 
 
+#: Domains of the test tables' sources.
+DOMAINS = {
+    "web": "webcrawl news forum blogs shops reviews",
+    "reference": "encyclopedia howto government school minutes patents_like dictionary lectures",
+    "culture": "recipes travel letters subtitles field_notes folklore",
+}
+
+
 def _mixture(spark: SparkSession, folder: str) -> mixing.Mixture:
     docs = read(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text", "source", language.declared(F.col("lang")).alias("lang"))
     sized = table(tokens.token_counts(docs.where("text is not null"), keep=("source", "lang")), "tokens")
-    return mixing.Mixture(sized, read(spark, folder, "mix_targets"))
+    return mixing.Mixture(sized, read(spark, folder, "mix_targets"), DOMAINS)
 
 
 def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:

@@ -33,8 +33,8 @@ LEAST_CHARS = 50
 #: Documents with fewer common words have no word distance.
 LEAST_WORDS = 10
 WORDS = r"\p{L}+"
-#: Words of a language's reference.
-TOP_WORDS = 200
+#: Words of a language's reference, and letters that they have at most; ``js_words`` compares these words only.
+TOP_WORDS, WORD_LETTERS = 200, 30
 
 
 @cache
@@ -118,7 +118,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def word_reference(docs: DataFrame, top: int = TOP_WORDS) -> dict[str, dict[str, float]]:
     """The ``top`` words of each label group with their share among these, over all documents; at most 677 * top entries."""
     w = Window.partitionBy("grp").orderBy(F.desc("n"), "word")
-    best = word_counts(docs).where("length(word) <= 30").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    best = word_counts(docs).where(f"length(word) <= {WORD_LETTERS}").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
     out: dict[str, dict[str, float]] = {}
     for r in best.collect():
         out.setdefault(r.grp, {})[r.word] = r.n

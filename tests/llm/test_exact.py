@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.operators import grams
 from millrace.llm import cutoff, mixing, neardup, packing, prose, repetition, sampling
 
 WORDS = "river stone lamp harbour printer garden weekly museum quarry ledger copper window sailor meadow".split()
@@ -87,13 +88,13 @@ def test_one_template_of_many_texts(spark):
 
 
 def test_hot_keys_are_joined_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "PROBE", 2)
-    monkeypatch.setattr(neardup, "HOT", 20)
-    monkeypatch.setattr(neardup, "BLOCK", 7)
+    monkeypatch.setattr(grams, "PROBE", 2)
+    monkeypatch.setattr(grams, "HOT", 20)
+    monkeypatch.setattr(grams, "BLOCK", 7)
     rows = [(k, i, 10) for k, n in ((1, 40), (2, 3), (3, 60)) for i in range(n)]
     keyed = spark.createDataFrame(rows, "key long, id long, grams int")
-    assert {r.key for r in neardup.hot_keys(keyed).collect()} == {1, 3}
-    got = Counter((r.lo, r.hi) for r in neardup.pair_up(keyed, 0.8).collect())
+    assert {r.key for r in grams.hot_keys(keyed).collect()} == {1, 3}
+    got = Counter((r.lo, r.hi) for r in grams.pair_up(keyed, 0.8).collect())
     assert got == Counter((a, b) for k, n in ((1, 40), (2, 3), (3, 60)) for a in range(n) for b in range(a + 1, n))
 
 
@@ -361,14 +362,14 @@ def test_mixture(spark):
     rows = [(i, rng.randrange(0, 50), rng.choice(["News", "news ", "blogs", "tiny" if i < 40 else "news", None, "other"]), rng.choice(["en", "de", None])) for i in range(500)]
     d = spark.createDataFrame(rows, "id long, tokens long, source string, lang string").withColumn("weight", F.lit(3)).withColumn("rest", F.lit("x"))
     goals = spark.createDataFrame([("news", 0.3, 1), ("blogs", 0.5, 3), ("tiny", 0.2, 2), ("gone", 0.1, 2), (None, 1.0, 1)], "source string, weight double, max_repeats int")
-    m = mixing.Mixture(d, goals, budget=9000)
+    m = mixing.Mixture(d, goals, {"web": "a b"}, budget=9000)
     used = m.uses().collect()
     most = {"news": 1, "blogs": 3, "tiny": 2}
     assert all(r.source in most and 0 < r.uses <= most[r.source] for r in used)
     total = sum(r.tokens * r.uses for r in used)
     assert 9000 - 6 * 50 <= total <= 9000
-    again = {(r.id, r.uses) for r in mixing.Mixture(d.repartition(7), goals, budget=9000).uses().collect()}
+    again = {(r.id, r.uses) for r in mixing.Mixture(d.repartition(7), goals, {"web": "a b"}, budget=9000).uses().collect()}
     assert again == {(r.id, r.uses) for r in used}
     shares = {r.source: r for r in m.shares().collect()}
     assert shares["gone"].tokens == 0 and sum(r.actual_share for r in shares.values()) == pytest.approx(1)
-    assert mixing.Mixture(d.where("false"), goals).shares().count() == 4 and mixing.Mixture(d, goals.where("false")).uses().count() == 0
+    assert mixing.Mixture(d.where("false"), goals, {}).shares().count() == 4 and mixing.Mixture(d, goals.where("false"), {}).uses().count() == 0
