@@ -159,6 +159,18 @@ def mostly_bare(lines: list[str]) -> bool:
     """
     if not lines:
         return True
+    # a line of eight words that ends as a sentence and has a language is prose for good: more than half of these settle it
+    n, sure = len(lines), 0
+    for i, x in enumerate(lines):
+        if ENDS.search(x):
+            words = _WORD.findall(plain(x))
+            han = 0 if x.isascii() or not _HAN.search(x) else len(_HAN.findall(x))
+            if len(words) + han // 2 >= 8 and not no_language(x, words, han):
+                sure += 1
+                if sure * 2 > n:
+                    return False
+        if (sure + n - i - 1) * 2 <= n:
+            break
     out, _, _, ends, size = _first_look(lines)
     most = sum(c != PROSE or s <= 9 and not e for c, s, e in zip(out, size, ends, strict=True))
     if most * 2 <= len(lines) and out.count(NONE) * 2 < len(lines):
