@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import grams
 from ..functions.text import shingles
-from ..store import table
+from ..store import drop, table
 
 PRIME = (1 << 31) - 1
 #: Prefix shingles that candidates of the exact filter must share.
@@ -216,12 +216,17 @@ def components(pairs: DataFrame, max_rounds: int = 30) -> DataFrame:
     """(id, root) of every id in a pair: the smallest id of its connected group."""
     both = table(pairs.select("lo", "hi").unionByName(pairs.select(F.col("hi").alias("lo"), F.col("lo").alias("hi"))).distinct(), "edges")
     label = both.groupBy("lo").agg(F.least(F.min("hi"), F.first("lo")).alias("root")).select(F.col("lo").alias("id"), "root")
+    last = None
     for _ in range(max_rounds):
         near = both.join(label.select(F.col("id").alias("hi"), F.col("root").alias("r")), "hi").groupBy("lo").agg(F.min("r").alias("r"))
         low = label.join(near, label["id"] == near["lo"]).select("id", F.col("root").alias("was"), F.least("root", "r").alias("low"))
         up = label.select(F.col("id").alias("low"), F.col("root").alias("up"))
         new = table(low.join(up, "low", "left").select("id", "was", F.least("low", F.coalesce("up", "low")).alias("root")), "labels")
         label = new.select("id", "root")
-        if not new.where("root <> was").limit(1).count():
+        settled = not new.where("root <> was").limit(1).count()
+        if last is not None:
+            drop(last)
+        if settled:
             return label
+        last = new
     raise RuntimeError("components did not settle")
