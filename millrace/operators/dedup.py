@@ -43,7 +43,7 @@ def shingle_rows(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col:
 def minhash(docs: DataFrame, seeds: int = 100, n: int = 5, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", method: str = "arrow") -> DataFrame:
     """(id, fp): ``seeds`` minima over the shingles of each document that has any.
 
-    ``arrow`` hashes whole batches with numpy and moves nothing; ``sql`` takes the first 7 hex digits of the MD5 of a shingle and
+    ``arrow`` hashes slices of batches with numpy and moves nothing, by multiplication and shift; ``sql`` takes the first 7 hex digits of the MD5 of a shingle and
     minima in an aggregation, which other engines can repeat, but is slow for many seeds.
     """
     if method == "arrow":
@@ -63,28 +63,22 @@ def _minhash_arrow(docs: DataFrame, seeds: int, n: int, seed: int, id_col: str,
         import numpy as np
         import pyarrow as pa
 
-        factor = np.array([a for a, _ in family], np.uint64)[:, None]
-        shift = np.array([b for _, b in family], np.uint64)[:, None]
-        for b in batches:
+        # h -> the upper 31 bits of a h + b modulo 2^64, a odd: a multiplication and an addition, no remainder
+        factor = np.array([a << 33 | b << 2 | 1 for a, b in family], np.uint64)[:, None]
+        shift = np.array([b << 33 | a for a, b in family], np.uint64)[:, None]
+        for b in grams.slices(batches):
             ids, rows = [], []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if len(text) < n:
+                h = grams.gram_set(text, n)
+                if not len(h):
                     continue
-                points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-                h = np.zeros(len(points) - n + 1, np.uint64)
-                for k in range(n):
-                    h = (h ^ points[k : len(points) - n + 1 + k]) * np.uint64(0x100000001B3)
-                    h ^= h >> np.uint64(29)
-                h = np.unique(h >> np.uint64(33))
-                least = np.full(seeds, PRIME, np.int64)
-                for at in range(0, len(h), 4096):  # bounded memory for very long texts
-                    part = factor * h[None, at : at + 4096] + shift
-                    for _ in range(2):  # the remainder by 2^31 - 1, without a division
-                        part = (part & np.uint64(PRIME)) + (part >> np.uint64(31))
-                    part[part >= PRIME] -= np.uint64(PRIME)
-                    least = np.minimum(least, part.min(1).astype(np.int64))
+                least = np.full(seeds, np.uint64(0xFFFFFFFFFFFFFFFF))
+                for at in range(0, len(h), 2048):  # bounded memory for very long texts
+                    part = factor * h[None, at : at + 2048]
+                    part += shift
+                    np.minimum(least, part.min(1), out=least)
                 ids.append(i)
-                rows.append(least)
+                rows.append((least >> np.uint64(33)).astype(np.int64))
             flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
             fps = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, seeds), pa.int32()), pa.array(flat, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), fps], names=["id", "fp"])
