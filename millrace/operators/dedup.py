@@ -101,29 +101,45 @@ def lsh_bands(fingerprints: DataFrame, bands: int = 20, seeds: int | None = None
 
 def lsh_candidates(bands: DataFrame) -> DataFrame:
     """(lo, hi): distinct pairs that share a bucket; buckets of many texts go in blocks.  Equal texts should be collapsed before."""
-    keyed = bands.select(F.xxhash64("band", "bucket").alias("key"), "id", F.lit(1).alias("grams"), "band", "bucket")
-    return grams.pair_up(keyed, 0.0, ("band", "bucket")).select("lo", "hi").distinct()
+    keyed = bands.select(F.xxhash64("band", "bucket").alias("key"), "id", F.lit(1).alias("grams"))
+    return grams.pair_up(keyed).select("lo", "hi").distinct()
 
 
-def likely(pairs: DataFrame, fingerprints: DataFrame, threshold: float, seeds: int, sigmas: float = 6.0) -> DataFrame:
-    """Pairs whose fingerprints agree in as many places as a pair at the threshold does, less six deviations: spares most texts of pairs that only share a band.
+def sketches(fingerprints: DataFrame, seeds: int) -> DataFrame:
+    """(id, fp, w0, ...): the lowest four bits of each minimum beside the fingerprint, 15 of them in a long."""
+    starts = range(0, seeds, 15)
+    return fingerprints.select("id", "fp", *(F.aggregate(F.slice("fp", at + 1, 15), F.lit(0).cast("long"), lambda t, x: t * 16 + x.bitwiseAND(F.lit(15))).alias(f"w{at}") for at in starts))
+
+
+def likely(threshold: float, seeds: int, sigmas: float = 6.0):
+    """Whether the sketches of two rows agree in as many places as those of a pair at the threshold do, less six deviations.
 
-    Four bits of each minimum are compared, 15 of them in a long: equal minima always agree, so that no more pairs are lost than by whole minima.
+    Equal minima always agree in four bits, so that no more pairs are lost than by whole minima.
     """
     least = seeds * threshold - sigmas * (seeds * threshold * (1 - threshold)) ** 0.5
-    starts = range(0, seeds, 15)
-    packed = fingerprints.select("id", *(F.aggregate(F.slice("fp", at + 1, 15), F.lit(0).cast("long"), lambda t, x: t * 16 + x.bitwiseAND(F.lit(15))).alias(f"w{at}") for at in starts))
-    both = pairs
-    for side in ("lo", "hi"):
-        both = both.join(packed.select(F.col("id").alias(side), *(F.col(f"w{at}").alias(f"{side}{at}") for at in starts)), side)
 
-    def unequal(at: int):
-        x = F.col(f"lo{at}").bitwiseXOR(F.col(f"hi{at}"))
-        any_bit = x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2)).bitwiseOR(F.shiftright(x, 3))
-        return F.bit_count(any_bit.bitwiseAND(F.lit(int("1" * 15, 16))))
+    def fits(left: str, right: str):
+        def unequal(at: int):
+            x = F.col(f"{left}w{at}").bitwiseXOR(F.col(f"{right}w{at}"))
+            any_bit = x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2)).bitwiseOR(F.shiftright(x, 3))
+            return F.bit_count(any_bit.bitwiseAND(F.lit(int("1" * 15, 16))))
+
+        return F.lit(seeds) - sum(map(unequal, range(0, seeds, 15)), F.lit(0)) >= F.lit(float(least))
 
-    differ = sum(map(unequal, starts), F.lit(0))
-    return both.where(F.lit(seeds) - differ >= F.lit(float(least))).select("lo", "hi")
+    return fits
+
+
+def _banded(fingerprints: DataFrame, bands: int, seeds: int, threshold: float, sketched: bool) -> DataFrame:
+    """Candidates of fingerprints; their sketches go along with the rows of the bands, so that no pair has to meet them again."""
+    rows = seeds // bands
+    if bands < 1 or seeds % bands:
+        raise ValueError("seeds must be a multiple of bands")
+    if not sketched:
+        return lsh_candidates(lsh_bands(fingerprints, bands, seeds))
+    keys = F.array(*(F.xxhash64(F.lit(b), F.slice("fp", b * rows + 1, rows)) for b in range(bands)))
+    own = table(sketches(fingerprints, seeds).select("id", *(f"w{at}" for at in range(0, seeds, 15)), keys.alias("keys")), "banded")
+    keyed = own.select(F.explode("keys").alias("key"), "id", F.lit(1).alias("grams"), *(f"w{at}" for at in range(0, seeds, 15)))
+    return grams.pair_up(keyed, fits=likely(threshold, seeds)).select("lo", "hi").distinct()
 
 
 def prefix_candidates(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,9 +175,7 @@ def candidate_pairs(docs: DataFrame, method: str = "lsh", threshold: float = 0.8
     """Candidates by ``lsh`` (recall by seeds and bands) or ``exact`` (none lost).  ``sketch`` drops pairs whose fingerprints agree too little."""
     if method == "lsh":
         # both sides of the pairing read the fingerprints, so they are kept
-        fps = table(minhash(docs, seeds, n, seed, id_col, text_col), "fingerprints")
-        pairs = lsh_candidates(lsh_bands(fps, bands, seeds))
-        return likely(pairs, fps, threshold, seeds) if sketch else pairs
+        return _banded(table(minhash(docs, seeds, n, seed, id_col, text_col), "fingerprints"), bands, seeds, threshold, sketch)
     if method == "exact":
         return prefix_candidates(docs, threshold, n, id_col, text_col)
     raise ValueError("method must be lsh or exact")

@@ -6,11 +6,11 @@ Null texts and texts shorter than n have no n-grams.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Counters of token frequencies, in bits of a token's hash.
@@ -136,9 +136,11 @@ def hot_keys(keyed: DataFrame) -> DataFrame | None:
     return keyed.sparkSession.createDataFrame([(r.key, -(-r.n * PROBE // BLOCK)) for r in rows], "key long, blocks int")
 
 
-def pair_up(keyed: DataFrame, threshold: float = 0.0, more: tuple[str, ...] = ()) -> DataFrame:
+def pair_up(keyed: DataFrame, threshold: float = 0.0, more: tuple[str, ...] = (), fits: Callable[[str, str], Column] | None = None) -> DataFrame:
     """(lo, hi, least, *more) of rows (key, id, grams, *more) that share a key and whose sizes allow the threshold; repeats where they share several.
 
+    ``fits`` (of the prefixes of both sides' columns) drops pairs where they are formed.
+
     ``keyed`` is read by both sides, so it should be a table.  Both sides of the join are the same rows, which are shuffled once; rows of
     hot keys alone go in blocks, so that no task has all pairs of such a key.
     """
@@ -148,7 +150,7 @@ def pair_up(keyed: DataFrame, threshold: float = 0.0, more: tuple[str, ...] = ()
         a, b = a.alias("a"), b.alias("b")
         both = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*on, *more]])
         fit = (F.col("a.id") < F.col("b.id")) & (F.col("a.grams") >= t * F.col("b.grams")) & (F.col("b.grams") >= t * F.col("a.grams"))
-        return both.where(fit).select(F.col("a.id").alias("lo"), F.col("b.id").alias("hi"), F.least("a.grams", "b.grams").alias("least"), *(F.col(f"a.{c}").alias(c) for c in more))
+        return both.where(fit if fits is None else fit & fits("a.", "b.")).select(F.col("a.id").alias("lo"), F.col("b.id").alias("hi"), F.least("a.grams", "b.grams").alias("least"), *(F.col(f"a.{c}").alias(c) for c in more))
 
     hot = hot_keys(keyed)
     if hot is None:
