@@ -1,7 +1,8 @@
-"""Fuzzy deduplication: candidates by MinHash bands or by an exact prefix filter, verified similarity, removal.
+"""Fuzzy deduplication: candidates by MinHash bands or by an exact filter, verified similarity, removal.
 
 The bands are the way at scale and the default; a pair at similarity s is found with probability 1 - (1 - s^rows)^bands, and
-dropped before verification (``sketch``) with less than 1e-7.  The prefix filter loses none and takes a fifth of all shingles as rows.
+dropped before verification (``sketch``) with less than 1e-7.  The exact filter (``bitmaps``) loses none, needs little space and compares each
+text with all of similar size and kind.  The prefix filter loses none either, and takes a fifth of all shingles as rows, and all pairs that share one.
 Candidates are written once; texts, not their shingles, are moved to verify them.
 
 Null texts, and texts shorter than n, have no shingles and are never duplicates.
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import grams
+from . import bitmaps, grams
 from ..functions.text import shingles
 from ..store import drop, table
 
@@ -156,7 +157,9 @@ def prefix_candidates(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_co
 
 def both_orders(pairs: DataFrame) -> DataFrame:
     """Every pair twice, as (lo, hi) and as (hi, lo)."""
-    return pairs.unionByName(pairs.withColumns({"lo": F.col("hi"), "hi": F.col("lo")}))
+    ends = F.array(F.struct("lo", "hi"), F.struct(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
+    rest = [c for c in pairs.columns if c not in ("lo", "hi")]
+    return pairs.select(F.explode(ends).alias("_p"), *rest).select("_p.lo", "_p.hi", *rest)  # the pairs are found once
 
 
 def verify_pairs(pairs: DataFrame, docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,13 +175,15 @@ def verify_pairs(pairs: DataFrame, docs: DataFrame, threshold: float = 0.8, n: i
 
 
 def candidate_pairs(docs: DataFrame, method: str = "lsh", threshold: float = 0.8, n: int = 5, seeds: int = 100, bands: int = 20, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", sketch: bool = True) -> DataFrame:
-    """Candidates by ``lsh`` (recall by seeds and bands) or ``exact`` (none lost).  ``sketch`` drops pairs whose fingerprints agree too little."""
+    """Candidates by ``lsh`` (recall by seeds and bands), ``exact`` (none lost) or ``prefix`` (none lost; for texts whose rare shingles are in few others).  ``sketch`` drops pairs whose fingerprints agree too little."""
     if method == "lsh":
         # both sides of the pairing read the fingerprints, so they are kept
         return _banded(table(minhash(docs, seeds, n, seed, id_col, text_col), "fingerprints"), bands, seeds, threshold, sketch)
     if method == "exact":
+        return bitmaps.close_pairs(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), n, threshold)
+    if method == "prefix":
         return prefix_candidates(docs, threshold, n, id_col, text_col)
-    raise ValueError("method must be lsh or exact")
+    raise ValueError("method must be lsh, exact or prefix")
 
 
 def collapsed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -222,7 +227,7 @@ def kept_ratio(total: DataFrame, kept: DataFrame) -> DataFrame:
 
 def components(pairs: DataFrame, max_rounds: int = 30) -> DataFrame:
     """(id, root) of every id in a pair: the smallest id of its connected group."""
-    both = table(pairs.select("lo", "hi").unionByName(pairs.select(F.col("hi").alias("lo"), F.col("lo").alias("hi"))).distinct(), "edges")
+    both = table(both_orders(pairs.select("lo", "hi")).distinct(), "edges")
     label = both.groupBy("lo").agg(F.least(F.min("hi"), F.first("lo")).alias("root")).select(F.col("lo").alias("id"), "root")
     last = None
     for _ in range(max_rounds):
