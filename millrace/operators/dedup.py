@@ -101,9 +101,13 @@ def lsh_bands(fingerprints: DataFrame, bands: int = 20, seeds: int | None = None
 
 
 def lsh_candidates(bands: DataFrame) -> DataFrame:
-    """(lo, hi): distinct pairs that share a bucket; buckets of many texts go in blocks.  Equal texts should be collapsed before."""
-    keyed = bands.select(F.xxhash64("band", "bucket").alias("key"), "id", F.lit(1).alias("grams"))
-    return grams.pair_up(keyed).select("lo", "hi").distinct()
+    """(lo, hi): distinct pairs that share a bucket; buckets of many texts go in blocks.  Equal texts should be collapsed before.
+
+    A row has the smaller keys of its text along, so that a pair comes out at the smallest key it shares and no pairs have to be moved.
+    """
+    own = bands.select("id", F.xxhash64("band", "bucket").alias("key")).groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    keyed = own.select("id", "keys", F.posexplode("keys").alias("at", "key")).select("key", "id", F.lit(1).alias("grams"), F.slice("keys", F.lit(1), F.col("at")).alias("prior"))
+    return grams.pair_up(table(keyed, "keyed"), fits=lambda a, b: ~F.arrays_overlap(f"{a}prior", f"{b}prior")).select("lo", "hi")
 
 
 def sketches(fingerprints: DataFrame, seeds: int) -> DataFrame:

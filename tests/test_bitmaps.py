@@ -54,3 +54,12 @@ def test_texts_that_share_all_rare_shingles_write_little(spark, monkeypatch, tmp
     assert dedup.candidate_pairs(docs, "exact").count() < 600
     written = sum(f.stat().st_size for f in (tmp_path / "shared").rglob("*.parquet"))
     assert written < 200_000 and not list((tmp_path / "shared").glob("prefixes-*"))
+
+
+def test_banded_pairs_come_out_once_without_moving_pairs(spark):
+    rng = random.Random(9)
+    rows = [(i, b, rng.randrange(4)) for i in range(60) for b in range(5)]
+    own = {i: {(b, k) for j, b, k in rows if j == i} for i in range(60)}
+    got = dedup.lsh_candidates(spark.createDataFrame(rows + rows[:50], "id long, band int, bucket long"))
+    assert sorted((r.lo, r.hi) for r in got.collect()) == [(a, b) for a in range(60) for b in range(a + 1, 60) if own[a] & own[b]]
+    assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
