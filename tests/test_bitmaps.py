@@ -2,10 +2,13 @@
 
 import random
 
+import duckdb
 import pytest
 
+import __spark_entry__ as entry
 from millrace import store
 from millrace.operators import bitmaps, dedup, grams
+from millrace.plans import queries
 
 
 def texts(seed: int, n: int, alphabet: str = "abcdefghijkl ") -> list[tuple[int, str]]:
@@ -63,3 +66,19 @@ def test_banded_pairs_come_out_once_without_moving_pairs(spark):
     got = dedup.lsh_candidates(spark.createDataFrame(rows + rows[:50], "id long, band int, bucket long"))
     assert sorted((r.lo, r.hi) for r in got.collect()) == [(a, b) for a in range(60) for b in range(a + 1, 60) if own[a] & own[b]]
     assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["dedup_ratio"])
+def test_exact_queries_write_no_shared_shingles(spark, monkeypatch, tmp_path, name):
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(150)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(50))) for i in range(200)]
+    rows += [(200 + i, t[:-9] + "other end") for i, t in rows[:40]] + [(300 + i, t) for i, t in rows[:7]] + [(400, None), (401, ""), (402, "abc"), (403, "abc")]
+    spark.createDataFrame(rows, "line_id long, content string").repartition(3).write.parquet(f"{tmp_path}/corpus_lines.parquet")
+    monkeypatch.setattr(store, "shared_dir", lambda _: f"{tmp_path}/shared")
+    got = entry.queries()[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW corpus_lines AS SELECT * FROM '{tmp_path}/corpus_lines.parquet/*.parquet'")
+    want = con.sql(queries.SQL[name])
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+    assert sum(f.stat().st_size for f in (tmp_path / "shared").rglob("*.parquet")) < 100_000 and not list((tmp_path / "shared").glob("prefixes-*"))
