@@ -68,7 +68,7 @@ def test_banded_pairs_come_out_once_without_moving_pairs(spark):
     assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["dedup_ratio", "jaccard_both_orders", "dedup_counts", "dedup_removed", "jaccard_pairs"])
+@pytest.mark.parametrize("name", ["dedup_ratio", "jaccard_both_orders", "dedup_counts", "dedup_removed", "jaccard_pairs", "dedup_kept"])
 def test_exact_queries_write_no_shared_shingles(spark, monkeypatch, tmp_path, name):
     rng = random.Random(13)
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(150)]
